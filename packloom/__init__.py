@@ -1,8 +1,8 @@
 """packloom: a PySpark-native engine for language-model corpus preparation."""
 
-from pyspark import cloudpickle as _cloudpickle
+import sys
 
-import packloom as _self
+from pyspark import cloudpickle as _cloudpickle
 
 # Functions shipped to Python workers travel by value, so executors need no copy of this package.
-_cloudpickle.register_pickle_by_value(_self)
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
