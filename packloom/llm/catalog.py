@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packloom.llm import sharding, url_rules
+from packloom.llm import quality, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,34 @@ URL_RULES = [
 ]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents")).drop("rejected_by", "n_marks", "n_bangs")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), wins AS (
+  SELECT doc_id, p, array_to_string(w[p:p+7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)
+), twice AS (
+  SELECT doc_id, p FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), rep AS (
+  SELECT doc_id, sum(c) AS n FROM (SELECT doc_id, least(8, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 8)) AS c FROM twice) GROUP BY 1
+), f AS (
+  SELECT d.doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM d LEFT JOIN rep USING (doc_id)
+), g AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 5 * n_lines
+    OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > word_chars OR 2 * len(regexp_extract_all(text, '[\x21-\x40\x5B-\x60\x7B-\x7E]')) > word_chars
+    OR 5 * len(regexp_extract_all(text, '!')) > n_words
+    OR 100 * len(regexp_extract_all(text, '(?m)(\.\.\.|…)$')) > 30 * n_lines
+    OR 100 * len(regexp_extract_all(text, '(?m)^[•*-][\x20\t]')) > 90 * n_lines) AS kept FROM g
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
 
@@ -50,10 +78,11 @@ SELECT page_id, host, path, rule,
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op9_sharding": op9_sharding,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op10_url_filters": OP10_SQL}
