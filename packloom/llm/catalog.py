@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packloom.llm import quality, sharding, url_rules
+from packloom.llm import licenses, quality, secrets, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_read(spark, sf_dir, "documents"), 16)
 
@@ -79,6 +87,8 @@ SELECT page_id, host, path, rule,
 def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op5_license_scans": op5_license_scans,
+        "op8_secret_scans": op8_secret_scans,
         "op9_sharding": op9_sharding,
         "op10_url_filters": op10_url_filters,
     }
