@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from packloom.llm import licenses, quality, secrets, sharding, url_rules
+from packloom.llm import licenses, mixing, piece_codec, quality, secrets, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +23,16 @@ URL_RULES = [
 ]
 
 
+#: Where the tokenizer model lies; read on the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: A source is read at most this often while every source is read whole.
+MIX_TARGET = mixing.Target(repetition=2.0)
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), MIX_TARGET)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents")).drop("rejected_by", "n_marks", "n_bangs")
 
@@ -49,6 +61,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec(_read(spark, sf_dir, "documents"), Path(PIECE_MODEL).read_bytes(), digest=True)
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
@@ -86,7 +102,9 @@ SELECT page_id, host, path, rule,
 
 def queries() -> dict:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op2_quality_rules": op2_quality_rules,
+        "op3_piece_codec": op3_piece_codec,
         "op5_license_scans": op5_license_scans,
         "op8_secret_scans": op8_secret_scans,
         "op9_sharding": op9_sharding,
