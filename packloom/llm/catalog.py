@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packloom.llm import licenses, mixing, piece_codec, quality, secrets, sharding, url_rules
+from packloom.llm import jaccard_join, licenses, mixing, piece_codec, quality, secrets, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec(_read(spark, sf_dir, "documents"), Path(PIECE_MODEL).read_bytes(), digest=True)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
@@ -105,6 +109,7 @@ def queries() -> dict:
         "op1_source_mixing": op1_source_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_piece_codec": op3_piece_codec,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_license_scans": op5_license_scans,
         "op8_secret_scans": op8_secret_scans,
         "op9_sharding": op9_sharding,
