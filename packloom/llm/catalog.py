@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packloom.llm import jaccard_join, licenses, mixing, piece_codec, quality, secrets, sharding, url_rules
+from packloom.llm import jaccard_join, language, licenses, mixing, neighbours, piece_codec, quality, secrets, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,6 +73,15 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.identify(docs, *language.train(docs))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -111,6 +120,8 @@ def queries() -> dict:
         "op3_piece_codec": op3_piece_codec,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_license_scans": op5_license_scans,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
+        "op7_language_id": op7_language_id,
         "op8_secret_scans": op8_secret_scans,
         "op9_sharding": op9_sharding,
         "op10_url_filters": op10_url_filters,
