@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from packloom.llm import jaccard_join, language, licenses, mixing, neighbours, piece_codec, quality, secrets, sharding, url_rules
 
 
@@ -125,8 +126,10 @@ def queries() -> dict:
         "op8_secret_scans": op8_secret_scans,
         "op9_sharding": op9_sharding,
         "op10_url_filters": op10_url_filters,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op10_url_filters": OP10_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op2_quality_rules": OP2_SQL, "op10_url_filters": OP10_SQL} | pipeline
