@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from packloom.plans import queries as _queries  # noqa: F401  registers itself
 from packloom.plans import registry
 
 

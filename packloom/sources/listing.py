@@ -86,5 +86,8 @@ def short_version(version: Column) -> Column:
 
 
 def wheel_name(torch: Column, cuda: Column, python: Column) -> Column:
-    digits = lambda v: F.replace(short_version(v), F.lit("."), F.lit(""))
-    return F.concat(F.lit("flash_attn-*+cu"), F.coalesce(digits(cuda), F.lit("xxx")), F.lit("torch"), short_version(torch), F.lit("-cp"), digits(python), F.lit("-*.whl"))
+    """The pattern of a wheel's file name; ``xxx`` stands for an unknown toolkit."""
+    digits = lambda v: F.replace(v, F.lit("."), F.lit(""))
+    # Fixed values of the format.
+    parts = ("flash_attn-*+cu", F.coalesce(digits(cuda), F.lit("xxx")), "torch", digits(short_version(torch)), "*-cp", digits(short_version(python)), "-*-linux_x86_64.whl")
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
