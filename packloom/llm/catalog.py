@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from packloom.llm import jaccard_join, language, licenses, mixing, neighbours, piece_codec, quality, secrets, sharding, url_rules
+from packloom.llm import jaccard_join, language, licenses, mixing, neighbours, oracles, piece_codec, quality, secrets, sharding, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -132,4 +132,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op2_quality_rules": OP2_SQL, "op10_url_filters": OP10_SQL} | pipeline
+    return {
+        "op1_source_mixing": oracles.mixing_sql(MIX_TARGET.repetition, mixing.BLOCK_TOKENS),
+        "op2_quality_rules": OP2_SQL,
+        "op8_secret_scans": oracles.secrets_sql(),
+        "op9_sharding": oracles.sharding_sql(16),
+        "op10_url_filters": OP10_SQL,
+    } | pipeline

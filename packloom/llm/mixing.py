@@ -96,14 +96,18 @@ def plan(sources: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS) -
     return one.select(F.col("x.all.src").alias("src"), F.col("x.shares").alias("share"), "exponent", F.col("x.weights").alias("weight"), quota.alias("quota"), (F.col("x.weights") * block_tokens).alias("per_block"))
 
 
+def _content(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
 def _ranked(id_col: str, text_col: str, epoch: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.xxhash64(F.col(text_col)).cast("string"), epoch.cast("string")))
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), _content(text_col), epoch.cast("string")))
 
 
 def _prepare(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int, int]:
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("src"),
-        tokens_of(F.col(text_col)).alias("n"), F.xxhash64(F.col(text_col)).alias("content"), F.monotonically_increasing_id().alias("row"),
+        tokens_of(F.col(text_col)).alias("n"), _content(text_col).alias("content"), F.monotonically_increasing_id().alias("row"),
     )
     rows = stash(rows)
     sources = stash(rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total")))
@@ -122,7 +126,7 @@ def _offsets(copies: DataFrame, n_rows: int) -> DataFrame:
 
     The hash is scaled to about one row a key, so a bucket of ``exclusive_sums`` holds some 4096 rows of any source.
     """
-    h = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("content").cast("string"), F.col("epoch").cast("string")))
+    h = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("content"), F.col("epoch").cast("string")))
     scale = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12) * max(n_rows, 1)).cast("long")
     keyed = copies.withColumn("h", h).withColumn("key", scale)
     w = Window.partitionBy("src", "epoch", "key").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
