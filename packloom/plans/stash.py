@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns counts as proven small; at 64 bytes a row that is 13 MB.
 BROADCAST_ROWS = 200_000
+#: A key is hot with more than HOT_ROWS rows and more than a HOT_KEYS-th of all rows, so at most HOT_KEYS keys are hot.
+HOT_ROWS, HOT_KEYS = 2048, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,20 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which holds each key once and in ``size`` how many of ``total`` rows have it.
+
+    Rows of hot keys stay where they are and read their keys' lookup rows from a broadcast of at most ``HOT_KEYS`` rows;
+    the others meet theirs in a shuffle. ``lookup`` should be a stashed table, as it is read twice.
+    """
+    hot = lookup.filter(F.col(size) > max(HOT_ROWS, total // HOT_KEYS))
+    if total <= HOT_ROWS or hot.isEmpty():
+        return rows.join(lookup, key)
+    hot = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup, key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def exclusive_sums(df: DataFrame, key: str, value: str, out: str, partition: list[str] | None = None, fan: int = 4096) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows with a smaller integer ``key``, within ``partition``.
 

@@ -8,6 +8,7 @@ from packloom.config import ModelConfig, PackConfig
 from packloom.functions import tensor
 from packloom.operators import evaluation, packing, routing
 from packloom.sources import checkpoints, listing
+from packloom.plans import stash
 from packloom.streaming import packer
 
 
@@ -118,6 +119,18 @@ def test_routing_edges(spark):
     assert [r.expert for r in routing.top_k(gated, 1, bias=[0, 0, 1]).collect()] == [2]
 
 
+def test_join_lookup_with_a_hot_key(spark, monkeypatch):
+    rows = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("x"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1)], "k int, x long"))
+    lookup = stash.stash(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least")))
+    want = sorted(map(tuple, rows.join(lookup, "k").collect()))
+    for floor in (10_000, 100, 0):
+        monkeypatch.setattr(stash, "HOT_ROWS", floor)
+        assert sorted(map(tuple, stash.join_lookup(rows, lookup, "k", "n", 1001).collect())) == want
+    plan = stash.join_lookup(rows, lookup, "k", "n", 1001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+
+
 def test_checkpoints(spark, tmp_path):
     state = spark.createDataFrame([("w", [1.0])], "name string, v array<double>")
     checkpoints.save_state(state, str(tmp_path), 7)
