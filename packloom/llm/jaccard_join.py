@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from packloom.llm.batches import pieces
 from packloom.llm.components import components, forest
-from packloom.plans.stash import small, stash
+from packloom.plans.stash import join_lookup, small, stash
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -291,14 +291,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     depth = prefix_depth(threshold)
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (4 * DEPTH) + 1, F.lit(4 * depth))))
     leaves = sets.select("rep", F.explode(keys).alias("prefix"))
-    met = leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    meeting = leaves.join(met, "prefix").join(sets.select("rep", "sig"), "rep")
+    met = stash(leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    meeting = join_lookup(leaves, met, "prefix", "members", TREES * sets.count()).join(sets.select("rep", "sig"), "rep")
     meeting = _block_pairs(meeting, ["prefix"], "members").select("prefix", "bi", "bj", "own", "rep", "sig")
     least = threshold - SLACK
     edges = _grouped(meeting, ["prefix", "bi", "bj"], lambda t: _candidate_edges(t, least), "a long, b long")
     members = components(edges)
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    members = stash(members.withColumnRenamed("id", "rep").join(sizes, "comp").join(sets.select("rep", "copies", "pick"), "rep"))
+    members = stash(members)
+    sizes = stash(members.groupBy("comp").agg(F.count(F.lit(1)).alias("members")))
+    members = stash(join_lookup(members.withColumnRenamed("id", "rep"), sizes, "comp", "members", members.count()).join(sets.select("rep", "copies", "pick"), "rep"))
     n = members.count()
     if n:
         text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("content"), F.col(text_col).alias("text"))
@@ -320,8 +321,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = sets.select("rep", "copies", "least").join(links, "rep", "left").join(true.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     named = stash(named)
-    lowest = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    named = named.join(lowest, "comp").select("rep", "comp", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    lowest = stash(named.groupBy("comp").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("in_class")))
+    named = join_lookup(named, lowest, "comp", "in_class", named.count()).select("rep", "comp", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("id", "content", F.when(F.col("n") > 0, name).alias("rep")).join(named, "rep", "left")
     return out.select(F.col("id").alias(id_col), "content", F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), "comp")
 
@@ -333,8 +334,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     pairs = classes(docs, id_col, text_col).select(F.col(id_col).alias("id"), "content", "comp")
     pairs = stash(pairs.groupBy("id", "content", "comp").agg(F.count(F.lit(1)).alias("times")))
-    stays = pairs.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "content")).alias("first"))
-    goes = pairs.join(stays, "comp").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("content") == F.col("first.content"))))
+    stays = stash(pairs.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "content")).alias("first"), F.count(F.lit(1)).alias("in_class")))
+    goes = join_lookup(pairs, stays, "comp", "in_class", pairs.count()).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("content") == F.col("first.content"))))
     goes = stash(goes.select(F.struct("id", "content").alias("_goes")))
     n = goes.count()
     same = (F.xxhash64(F.col(text_col)) == F.col("_goes.content")) & F.col(id_col).cast("long").eqNullSafe(F.col("_goes.id"))

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 
 from packloom.llm import jaccard_join as jj
 from packloom.llm.catalog import op4_jaccard_join
 from packloom.llm.components import components, forest
+from packloom.plans import stash
 
 
 def brute(rows):
@@ -87,3 +89,13 @@ def test_blocks_edges_and_clashing_names(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c, _ in got.values()})
     assert kept.filter("doc_id is null").count() == 1
     assert jj.classes(df.limit(0)).count() == 0 and jj.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("floor", [0, 3])
+def test_hot_keys_change_nothing(spark, sf_dir, monkeypatch, floor):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted((r.doc_id, r.class_id, r.n_links) for r in jj.classes(docs).collect())
+    kept = sorted(r.doc_id for r in jj.keep_one(docs).collect())
+    monkeypatch.setattr(stash, "HOT_ROWS", floor)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jj.classes(docs).collect()) == want
+    assert sorted(r.doc_id for r in jj.keep_one(docs).collect()) == kept
