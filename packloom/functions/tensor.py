@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, also where ``body`` uses it inside a function of lanes."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -15,7 +21,7 @@ def dot(a: Column, b: Column) -> Column:
 def rms_norm(x: Column, scale: Column | float = 1.0, eps: float = 1e-5) -> Column:
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / F.size(x)
     scale = F.lit(scale) if isinstance(scale, int | float) else scale
-    return F.transform(x, lambda v: v / F.sqrt(mean + eps) * scale)
+    return let(F.sqrt(mean + eps), lambda m: F.transform(x, lambda v: v / m * scale))
 
 
 def swiglu(x: Column, alpha: float = 1.702, limit: float = 7.0) -> Column:
@@ -31,8 +37,8 @@ def swiglu(x: Column, alpha: float = 1.702, limit: float = 7.0) -> Column:
 
 def softmax(scores: Column) -> Column:
     top = F.array_max(scores)
-    raised = F.transform(scores, lambda z: F.exp(z - top))
-    return F.transform(raised, lambda u: u / F.aggregate(raised, F.lit(0.0), lambda s, v: s + v))
+    raised = let(top, lambda t: F.transform(scores, lambda z: F.exp(z - t)))
+    return let(raised, lambda r: let(F.aggregate(r, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(r, lambda u: u / total)))
 
 
 def yarn_frequencies(head_dim: int, base: float = 10_000.0, scale: float = 1.0, initial: int = 2048, alpha: float = 1.0, beta: float = 32.0) -> tuple[float, list[float]]:
@@ -66,3 +72,20 @@ def cosine_schedule(step: Column, rate: float = 3e-4, warmup: int = 2000, total:
     done = F.least((step - warmup) / F.lit(float(max(1, total - warmup))), F.lit(1.0))
     cosine = F.greatest(F.lit(floor), floor + (1 - floor) * 0.5 * (1 + F.cos(math.pi * done)))
     return rate * F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(cosine)
+
+
+def linear(x: Column, weights: list[list[float]], bias: list[float] | None = None) -> Column:
+    """One dot product a row of ``weights``, plus its bias. The weights are a literal, bounded by the model's size."""
+    rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias or [0.0] * len(weights), strict=True)])
+    return let(x, lambda v: F.transform(rows, lambda r: dot(v, r["w"]) + r["b"]))
+
+
+def feed_forward(x: Column, first: list[list[float]], third: list[list[float]], second: list[list[float]]) -> Column:
+    """Two projections to 2 * I lanes, multiplied lane by lane, gated down to I lanes and projected back."""
+    return linear(let(F.zip_with(linear(x, first), linear(x, third), lambda a, b: a * b), swiglu), second)
+
+
+def norm_and_rotate(x: Column, heads: int, position: Column, frequencies: list[float]) -> Column:
+    """Each head's lanes normalised, then rotated by their position."""
+    width = 2 * len(frequencies)
+    return F.concat(*[let(rms_norm(F.slice(x, h * width + 1, width)), lambda v: rope(v, position, frequencies)) for h in range(heads)])

@@ -80,3 +80,14 @@ def attention(q: DataFrame, kv: DataFrame, group: int, sink: float | None = None
     rows = rows.withColumn("total", total)
     out = rows.select("b", "head", "pos", F.explode("ks").alias("s"), "top", "total").select("b", "head", "pos", (F.exp(F.col("s.z") - F.col("top")) / F.col("total")).alias("p"), F.posexplode("s.v").alias("dim", "v"))
     return out.groupBy("b", "head", "pos", "dim").agg(F.sum(F.col("p") * F.col("v")).alias("value"))
+
+
+def add_shared(tokens: DataFrame, routed: DataFrame, shared: list[float]) -> DataFrame:
+    """``routed`` (token_id, dim, value) plus the output x * shared of the expert that every token visits."""
+    dense = tokens.select("token_id", F.posexplode(F.zip_with("x", F.array(*[F.lit(float(v)) for v in shared]), lambda a, b: a * b)).alias("dim", "more"))
+    return dense.join(routed, ["token_id", "dim"], "left").select("token_id", "dim", (F.col("more") + F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
+def log_lines(used: DataFrame) -> DataFrame:
+    """One ``line`` an expert, its share with two decimals."""
+    return used.select(F.format_string("expert %d: %.2f%%", F.col("expert"), F.col("percent")).alias("line"))
