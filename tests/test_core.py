@@ -147,3 +147,23 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 37
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_feed_forward_and_head_rotation(spark):
+    x, w1, w3, w2 = [0.5, -1.0], [[1.0, 0.0], [0.0, 1.0]], [[2.0, 0.0], [0.0, -3.0]], [[4.0], [-1.0]]
+    made = column(spark, tensor.feed_forward(F.array(*map(F.lit, x)), w1, w3, w2))
+    gate, line = 0.5 * 1.0, -1.0 * 3.0
+    one = gate / (1 + math.exp(-1.702 * gate)) * (line + 1)
+    assert made == pytest.approx([4 * one, -one])
+    turned = column(spark, tensor.norm_and_rotate(F.array(*map(F.lit, [3.0, 4.0, 1.0, 0.0])), 2, F.lit(1), [math.pi / 2]))
+    rms = [math.sqrt(12.5 + 1e-5), math.sqrt(0.5 + 1e-5)]
+    assert turned == pytest.approx([-4 / rms[0], 3 / rms[0], 0, 1 / rms[1]], abs=1e-12)
+
+
+def test_streams_read_files_and_folders(spark, sf_dir, tmp_path):
+    from packloom.plans import model_queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(tuple, model_queries.stream_pack(spark, sf_dir).collect()))
+    assert len(want) == 37 and sorted(map(tuple, model_queries.stream_pack(spark, str(tmp_path)).collect())) == want
