@@ -41,6 +41,22 @@ def test_license_rules():
     assert labels("nothing here") == []
 
 
+def test_license_keywords_lose_no_detection():
+    rules = licenses.signatures()
+    words = licenses.automaton(rules)
+    labels = lambda t: [h[2].label for h in licenses.detect(t, rules, words)]
+    assert labels("under the gnu general\npublic license, version 2") == ["gpl-2.0"]
+    assert labels("a mozilla  public license 2.0 text") == ["mpl-2.0"] and labels("the creative,\n commons attribution 4.0") == ["cc-by"]
+    ids = ["mpl-2.0", "lgpl-2.1", "agpl-3.0", "epl-2.0", "cc-by-4.0", "bsl-1.0", "ofl-1.1", "psf-2.0", "python-2.0", "gpl-3.0-or-later"]
+    assert [labels(f"license: {x}") for x in ids[:7]] == [["mpl-2.0"], ["lgpl-2.1"], ["agpl-3.0"], ["epl-2.0"], ["cc-by"], ["bsl-1.0"], ["ofl-1.1"]]
+    names = ["gnu library general public license", "eclipse public license 1.0", "common development and distribution license", "sil open font license", "microsoft reciprocal license"]
+    texts = [f"{a}{x.replace(' ', gap)}" for x in ids + names for gap in (" ", "  ", "\n", ",\t") for a in ("licence = ", "released under ", "copy of ", "spdx-license-identifier: ", "")]
+    every = "".join(r.keywords[0] + " " for r in rules)  # lets every rule run
+    for t in texts:
+        ungated = [h for h in licenses.detect(f"{t}\n\n" + every, rules, words) if h[0] < len(t)]
+        assert licenses.detect(t, rules, words) == ungated, t
+
+
 def test_license_edges(spark):
     rows = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "MIT-License é MIT\nlicense", 3), (2, "x " * 200_000 + "mit license", 3)], "doc_id long, text string, labels int")
     got = [tuple(r)[:6] for r in licenses.scan(rows).orderBy("doc_id", "n_words").collect()]
