@@ -178,7 +178,11 @@ def live_tensors(c: ModelConfig = LIVE) -> list[tuple[str, list[int], bool]]:
     for i in range(c.layers):
         for name, shape in (("q", [c.hidden, q]), ("k", [c.hidden, kv]), ("v", [c.hidden, kv]), ("o", [q, c.hidden])):
             out += [(f"{i}.{name}.w", shape, True), (f"{i}.{name}.b", [shape[1]], True)]
+        out += [(f"{i}.q_norm", [c.head_dim], True), (f"{i}.k_norm", [c.head_dim], True)]
         out += [(f"{i}.norm1", [c.hidden], True), (f"{i}.norm2", [c.hidden], True), (f"{i}.gate.w", [c.experts, c.hidden], True), (f"{i}.gate.b", [c.experts], True)]
+        for block in (*(f"expert{e}" for e in range(c.experts)), "shared"):
+            for name, shape in (("w1", [c.hidden, 2 * c.intermediate]), ("w2", [c.intermediate, c.hidden]), ("w3", [c.hidden, 2 * c.intermediate])):
+                out += [(f"{i}.{block}.{name}.w", shape, True), (f"{i}.{block}.{name}.b", [shape[1]], True)]
     return out
 
 

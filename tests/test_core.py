@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from packloom import catalog
 from packloom.config import ModelConfig, PackConfig
 from packloom.functions import tensor
 from packloom.operators import evaluation, packing, routing
@@ -167,3 +168,7 @@ def test_streams_read_files_and_folders(spark, sf_dir, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     want = sorted(map(tuple, model_queries.stream_pack(spark, sf_dir).collect()))
     assert len(want) == 37 and sorted(map(tuple, model_queries.stream_pack(spark, str(tmp_path)).collect())) == want
+
+
+def test_param_count_is_the_reference_total(spark, sf_dir):
+    assert [tuple(r) for r in catalog.queries()["param_count"](spark, sf_dir).collect()] == [(44_160_652, 44_160_652)]  # SURVEY 2.9, A19
