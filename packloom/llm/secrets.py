@@ -2,7 +2,8 @@
 
 The models are first-order over the characters that secrets use. They are trained from labelled tokens (random strings
 against ordinary identifiers); the log-ratio of their transitions is one bounded table, ALPHABET squared, which every
-task reads as a literal. A long token with a digit is a secret if its summed log-ratio reaches ``MIN_RATIO``.
+task reads as a literal. A long token is a secret if its summed log-ratio reaches ``MIN_RATIO``. ``scan`` asks about
+tokens of 20 characters with a digit, as its SQL does; ``redact`` about all of 16 and more, letters only or not.
 
 Positions are code points, ends exclusive. Defined results: a null text is an empty text (no spans, the digest of the
 empty string); repeated rows each get their own result; an empty table gives an empty result; extra columns pass.
@@ -25,7 +26,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_ASSIGN = 8
 
+#: Tokens that ``scan`` and ``redact`` ask the ratio about; below 16 characters ordinary words of the given texts reach it.
 TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+LONG_TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Natural logarithm of the odds at which a token counts as random.
 MIN_RATIO = 12.0
@@ -106,7 +109,7 @@ def places(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
 
 
-def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO) -> tuple[Column, Column]:
+def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO, token: str = TOKEN) -> tuple[Column, Column]:
     """Base spans and all spans, each an array of (start, order, end, kind) in order."""
     whole = F.coalesce(text, F.lit(""))
 
@@ -116,7 +119,7 @@ def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO) -> tup
 
     long = F.filter(places(whole, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= LEAST_ASSIGN)
     base = F.array_sort(F.concat(of("assign", long), of("access", places(whole, ACCESS)), of("hex", places(whole, HEX))))
-    random = F.filter(places(whole, TOKEN), lambda x: log_ratio(x["match"], model) >= min_ratio)
+    random = F.filter(places(whole, token), lambda x: log_ratio(x["match"], model) >= min_ratio)
 
     def more(b: Column) -> Column:
         new = F.filter(of("markov", random), lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
@@ -155,4 +158,4 @@ def redact(text: Column, model: list[float], mask: str = "[SECRET]") -> Column:
         done = F.aggregate(found, start, step)
         return let(done, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.length(t))))
 
-    return let(spans(text, model)[1], lambda s: F.when(F.size(s) == 0, text).otherwise(cut(text, s)))
+    return let(spans(text, model, token=LONG_TOKEN)[1], lambda s: F.when(F.size(s) == 0, text).otherwise(cut(text, s)))

@@ -114,3 +114,15 @@ def test_secret_edges_and_models(spark):
     assert cut[0] is None and cut[1] == "" and cut[10] == f"ü see [SECRET] and {ordinary}"
     assert cut[3].startswith("[SECRET] [SECRET] [SECRET]g")
     assert secrets.scan(rows.limit(0), model).count() == 0
+
+
+def test_masking_asks_the_ratio_about_letters_and_shorter_tokens(spark):
+    from pyspark.sql import functions as F
+
+    model = secrets.train(secrets.default_samples(spark))
+    keys = ["qZtVxLmBnRwYpDkJhGfXcQsUvNyT", "QXZJVKWYHGBPDFMTQZXW", "q8Zt3kVx9LmB2nRw", "K7pX2vQ9zL4mW8tR1"]
+    plain = ["user_account_manager", "internationalization", "verantwortlichkeit", "OrderReportHandler"]
+    rows = spark.createDataFrame([(t, f"see {t} here") for t in keys + plain], "t string, text string")
+    got = {r.t: r.masked for r in rows.select("t", secrets.redact(F.col("text"), model).alias("masked")).collect()}
+    assert [got[t] for t in keys] == ["see [SECRET] here"] * len(keys)
+    assert [got[t] for t in plain] == [f"see {t} here" for t in plain]
