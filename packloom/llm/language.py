@@ -163,7 +163,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     starts = [F.floor(F.greatest(F.length(text) - WINDOW, F.lit(0)) * (i / max(PIECES - 1, 1))).cast("int") + 1 for i in range(PIECES)]
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), F.array(*[F.substring(text, s, F.lit(WINDOW)) for s in starts]).alias("x"))
     first = Window.partitionBy("lang").orderBy("h", "x")
-    sample = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANG).select("lang", "h", "x").limit(MAX_ROWS).collect()
+    sample = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANG).orderBy("r", "lang").select("lang", "h", "x").limit(MAX_ROWS).collect()
     langs = sorted({r["lang"] for r in sample})
     if not langs:
         return [], None

@@ -104,3 +104,14 @@ def test_language_edges(spark):
     assert lg.identify(df.limit(0), langs, params).count() == 0
     none = lg.train(df.limit(0))
     assert none == ([], None) and {r.lang_pred for r in lg.identify(df, *none).collect()} == {"und"}
+
+
+def test_many_languages_share_the_training_rows(spark, monkeypatch):
+    from packloom.llm import language
+
+    monkeypatch.setattr(language, "MAX_ROWS", 24)
+    monkeypatch.setattr(language, "fit", lambda windows, y, classes: y)
+    rows = spark.createDataFrame([(i, f"l{i % 12:02}", f"text {i}") for i in range(240)], "doc_id long, lang string, text string")
+    langs, y = language.train(rows.repartition(5))
+    assert langs == [f"l{i:02}" for i in range(12)]
+    assert [int((y == k).sum()) for k in range(12)] == [2 * language.PIECES] * 12
