@@ -26,8 +26,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_ASSIGN = 8
 
-#: Tokens that ``scan`` and ``redact`` ask the ratio about; below 16 characters ordinary words of the given texts reach it.
-TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that ``scan`` (those with a digit) and ``redact`` ask the ratio about; below 16 characters ordinary words of the
+#: given texts reach it. A whole run is matched first and asked for its digit afterwards, which reads each run once.
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LONG_TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Natural logarithm of the odds at which a token counts as random.
@@ -82,35 +83,52 @@ def train(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5)
 
 
 def log_ratio(token: Column, model: list[float], alphabet: str = ALPHABET) -> Column:
+    """The summed log-ratio of the token's transitions, in one walk over its characters."""
     n = len(alphabet) + 1
     table = F.split(F.lit(",".join(repr(x) for x in model)), ",").cast("array<double>")  # folds to a literal
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(token, i, F.lit(1)))
-    step = lambda acc, i: acc + F.get(table, at(i) * n + at(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), F.lit(0.0), step)
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c))
+
+    def walk(at: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.get(at, F.lit(0)).alias("last"))
+        step = lambda a, x: F.struct((a["sum"] + F.get(table, a["last"] * n + x)).alias("sum"), x.alias("last"))
+        return F.aggregate(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), start, step, lambda a: a["sum"])
+
+    return let(places, walk)
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """The inclusive running sums of an array: summed in blocks, then shifted by the blocks before, as appending to one
+    array a step at a time would copy it at every step."""
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out"))
+        return F.aggregate(part, start, step, lambda a: a["out"])
+
+    def shifted(blocks: Column) -> Column:
+        before = sums(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        move = lambda b: F.transform(blocks, lambda x, i: F.transform(x, lambda v: v + F.when(i == 0, 0).otherwise(F.get(b, i - 1))))
+        return F.flatten(let(before, move))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda k: F.slice(sizes, k * block + 1, F.lit(block)))
+    return let(F.transform(cut, sums), shifted)
 
 
 def places(text: Column, pattern: str) -> Column:
     """(start, end, match) of the leftmost non-overlapping matches, from the gaps that splitting leaves."""
+    kind = "array<struct<start:int,end:int,match:string>>"
 
     def walk(found: Column, gaps: Column) -> Column:
-        none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-
-        def step(a: Column, i: Column) -> Column:
-            start = a["pos"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))
-            return F.struct(end.alias("pos"), F.concat(a["out"], F.array(one)).alias("out"))
-
-        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+        sizes = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        one = lambda ends: F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match")))
+        return let(let(sizes, running), one)
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda g: walk(m, g)))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO, token: str = TOKEN) -> tuple[Column, Column]:
-    """Base spans and all spans, each an array of (start, order, end, kind) in order."""
+def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO, token: str = TOKEN, digit: bool = True) -> tuple[Column, Column]:
+    """Base spans and all spans, each an array of (start, order, end, kind) in order; ``digit`` asks random tokens for one."""
     whole = F.coalesce(text, F.lit(""))
 
     def of(kind: str, found: Column) -> Column:
@@ -119,7 +137,9 @@ def spans(text: Column, model: list[float], min_ratio: float = MIN_RATIO, token:
 
     long = F.filter(places(whole, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= LEAST_ASSIGN)
     base = F.array_sort(F.concat(of("assign", long), of("access", places(whole, ACCESS)), of("hex", places(whole, HEX))))
-    random = F.filter(places(whole, token), lambda x: log_ratio(x["match"], model) >= min_ratio)
+    asked = places(whole, token)
+    asked = F.filter(asked, lambda x: F.rlike(x["match"], F.lit("[0-9]"))) if digit else asked
+    random = F.filter(asked, lambda x: log_ratio(x["match"], model) >= min_ratio)
 
     def more(b: Column) -> Column:
         new = F.filter(of("markov", random), lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
@@ -158,4 +178,4 @@ def redact(text: Column, model: list[float], mask: str = "[SECRET]") -> Column:
         done = F.aggregate(found, start, step)
         return let(done, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.length(t))))
 
-    return let(spans(text, model, token=LONG_TOKEN)[1], lambda s: F.when(F.size(s) == 0, text).otherwise(cut(text, s)))
+    return let(spans(text, model, token=LONG_TOKEN, digit=False)[1], lambda s: F.when(F.size(s) == 0, text).otherwise(cut(text, s)))

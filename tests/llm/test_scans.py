@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from packloom.llm import licenses, secrets
 from packloom.llm.catalog import op5_license_scans, op8_secret_scans
 
@@ -126,3 +128,32 @@ def test_masking_asks_the_ratio_about_letters_and_shorter_tokens(spark):
     got = {r.t: r.masked for r in rows.select("t", secrets.redact(F.col("text"), model).alias("masked")).collect()}
     assert [got[t] for t in keys] == ["see [SECRET] here"] * len(keys)
     assert [got[t] for t in plain] == [f"see {t} here" for t in plain]
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    import base64
+    import random
+    import time
+
+    rng = random.Random(7)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    blob = base64.b64encode(rng.randbytes(750_000)).decode()
+    many = " ".join(f"token: Ab{rng.randrange(10**9):09}x" for _ in range(6000))
+    rows = spark.createDataFrame([(1, letters), (2, f"see {blob} end"), (3, many)], "doc_id long, text string")
+    model = secrets.train(secrets.default_samples(spark))
+    secrets.scan(rows.limit(0), model).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(rows, model).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1].spans == "" and f"markov:4:{4 + len(blob)}" in got[2].spans and got[3].n_assign == 6000
+    for i, t in ((1, letters), (3, many)):
+        joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_base(t))
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    cut = [r.t for r in rows.select(secrets.redact(F.col("text"), model).alias("t")).collect()]
+    assert cut[1] == "see [SECRET] end" and cut[2] == " ".join(["[SECRET]"] * 6000)
+
+
+def test_running_sums(spark):
+    xs = [[3], [1, 2, 3], list(range(1000)), [0] * 257]
+    rows = spark.createDataFrame([(x,) for x in xs], "x array<int>").select(secrets.running(F.col("x"), 16).alias("y")).collect()
+    assert [r.y for r in rows] == [[sum(x[: i + 1]) for i in range(len(x))] for x in xs]
