@@ -5,8 +5,9 @@ the half-open key interval [key, key + U+0001 in place of the last U+0000), whic
 subdomains. Such intervals nest or are disjoint, so a sweep over sorted urls needs only a stack of active rules.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and gets the default
-verdict. Null ids, repeated rows and extra columns pass; an empty table gives an empty result. Rules with the
-same host and path: the first listed wins.
+verdict. Null ids, repeated rows and extra columns pass; an empty table, and an empty batch, give an empty result. Rules
+with the same host and path: the first listed wins. Of rules of one length the one with the longer host wins. Rules
+travel to the tasks inside the function, at most ``MAX_RULES`` at a time; more take a sweep for each such part.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.plans.stash import stash
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules travel to every task inside the function; beyond this the table of rules is refused.
+#: Rules of one sweep.
 MAX_RULES = 1_000_000
 
 
@@ -74,8 +77,6 @@ def sweep(keys: Iterable[tuple[str, str, str]], spans: list) -> Iterator[Rule |
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) of every row. A range partitioning splits hot hosts by path and id."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     at = F.instr(F.col(url_col), "://")
     rest = F.when(at > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
     urls = pages.select(F.col(id_col).alias("id"), rest.alias("rest")).select(
@@ -83,15 +84,24 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), _UPPER, _LOWER).alias("host"),
         F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"),
     )
+    for start in range(0, max(len(rules), 1), MAX_RULES):
+        urls = _swept(urls if not start else stash(urls), rules[start : start + MAX_RULES])
+    return urls.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _swept(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(id, host, path, rule, verdict, of_host): the best of ``rules`` and of what earlier sweeps found."""
     key = F.concat(F.array_join(F.reverse(F.split("host", "[.]", -1)), "\0"), F.lit("\0"))
     urls = urls.withColumn("key", key).repartitionByRange("key", "path", "id").sortWithinPartitions("key", "path")
     spans = intervals(rules)
+    again = "rule" in urls.columns
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                pending.append(b)
-                yield from zip(b["key"].to_pylist(), b["host"].to_pylist(), b["path"].to_pylist(), strict=True)
+                if b.num_rows:
+                    pending.append(b)
+                    yield from zip(b["key"].to_pylist(), b["host"].to_pylist(), b["path"].to_pylist(), strict=True)
 
         pending: list[pa.RecordBatch] = []
         found: list[Rule | None] = []
@@ -99,11 +109,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
             found.append(rule)
             if len(found) == pending[0].num_rows:
                 b = pending.pop(0)
-                yield pa.RecordBatch.from_arrays(
-                    [b["id"], b["host"], b["path"], pa.array([r and r.text for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())],
-                    names=[id_col, "host", "path", "rule", "verdict"],
-                )
+                out = [(r.text, r.verdict, len(r.host)) if r else (None, None, 0) for r in found]
+                if again:  # an earlier rule gives way to a longer one only
+                    had = zip(b["rule"].to_pylist(), b["verdict"].to_pylist(), b["of_host"].to_pylist(), strict=True)
+                    out = [h if h[0] is not None and (x[0] is None or (len(h[0]), h[2]) >= (len(x[0]), x[2])) else x for h, x in zip(had, out, strict=True)]
+                kinds = [pa.string(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([b["id"], b["host"], b["path"], *[pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]], names=["id", "host", "path", "rule", "verdict", "of_host"])
                 found = []
 
-    kind = dict(urls.dtypes)["id"]
-    return urls.mapInArrow(match, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return urls.mapInArrow(match, f"id {dict(urls.dtypes)['id']}, host string, path string, rule string, verdict string, of_host int")

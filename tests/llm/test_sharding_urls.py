@@ -44,6 +44,21 @@ def test_weight_change_stays_in_its_subtree(spark):
     assert abs((got.grown_shard == 0).mean() - 0.5) < 0.04
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    rows = spark.range(3000).selectExpr("cast(id as string) as k").cache()
+    counts = range(1, 22)
+    from pyspark.sql import functions as F
+
+    got = rows.select(*[sharding.assign(F.col("k"), sharding.default_tree(n), n).alias(f"n{n}") for n in counts]).toPandas()
+    rows.unpersist()
+    for n in counts:
+        size = got[f"n{n}"].value_counts()
+        assert set(size.index) == set(range(n)) and size.max() < 1.6 * 3000 / n
+        if n > 1:
+            moved = got[got[f"n{n}"] != got[f"n{n - 1}"]]
+            assert set(moved[f"n{n}"]) == {n - 1}
+
+
 def test_shard_edge_cases(spark):
     rows = spark.createDataFrame([(None, None, 1), (5, "é", 2), (5, "é", 2), (7, "", 3)], "doc_id long, text string, slot int")
     got = {(r.doc_id, r.slot): r for r in sharding.shard_rows(rows).collect()}
@@ -80,5 +95,16 @@ def test_url_edges(spark):
     assert url_rules.judge_urls(rows.limit(0), URL_RULES).count() == 0
 
 
+def test_many_rules_take_several_sweeps(spark, monkeypatch):
+    rules = [url_rules.Rule(v, h, p) for v, h, p in [("allow", "org", "/"), ("block", "example.org", "/a"), ("block", "org", "/"), ("allow", "g", "/abcdef"), ("block", "e.g", "/abcd"), ("block", "org", "/a/b/c/d/e"), ("allow", "c", "")]]
+    urls = [f"http://{h}{p}" for h in ("org", "x.example.org", "e.g", "f.e.g", "c", "none") for p in ("", "/", "/a", "/abcdefg", "/a/b/c/d/e/f")]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    want = sorted(map(tuple, url_rules.judge_urls(rows, rules).collect()), key=str)
+    for most in (1, 2, 5):
+        monkeypatch.setattr(url_rules, "MAX_RULES", most)
+        assert sorted(map(tuple, url_rules.judge_urls(rows, rules).collect()), key=str) == want
+    assert {r[4] for r in want} == {"allow", "block"} and {r.verdict for r in url_rules.judge_urls(rows, [], default="block").collect()} == {"block"}
+
+
 def test_url_query_counts(spark, sf_dir):
     assert op10_url_filters(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
