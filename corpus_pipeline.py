@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each a function of (spark, docs, sf_dir).
 
 Rows keep the columns of ``documents`` until the last stage, which gives token ids. Null or blank texts fail the
-quality rules; an empty table stays empty through all stages; extra columns are carried along until the last.
+quality rules; an empty table stays empty through all stages; extra columns of any name are carried along until the last.
+Rows equal in id and text are copies, of which one stays; of texts that tie for a class the least id stays. A very long
+text is judged, compared, masked and encoded whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.llm import jaccard_join, mixing, piece_codec, quality, secrets
-from packloom.plans.stash import stash
+from packloom.plans.stash import discard, scratch, stash
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Small sources are read up to so many times; every kept document is read once at least.
@@ -43,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with whether they decode to it."""
-    return piece_codec.codec(docs, Path(PIECE_MODEL).read_bytes()).select("doc_id", "n_tokens", "ids", "round_trip")
+    return piece_codec.codec(docs, Path(PIECE_MODEL).read_bytes(), decoded=False).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
@@ -59,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
+    """All stages in order, each written to the shared folder and read again; what no later stage reads is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        with scratch(spark) as block:
+            docs = stash(stage(spark, docs, sf_dir))
+            made = block.take()
+        discard(spark, before)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
