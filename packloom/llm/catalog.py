@@ -26,6 +26,8 @@ URL_RULES = [
 
 #: Where the tokenizer model lies; read on the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: One text in about so many is also encoded by the sentencepiece library.
+PARITY_EVERY = 16
 #: A source is read at most this often while every source is read whole.
 MIX_TARGET = mixing.Target(repetition=2.0)
 
@@ -63,7 +65,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.codec(_read(spark, sf_dir, "documents"), Path(PIECE_MODEL).read_bytes(), digest=True)
+    return piece_codec.codec(_read(spark, sf_dir, "documents"), Path(PIECE_MODEL).read_bytes(), digest=True, parity_every=PARITY_EVERY)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

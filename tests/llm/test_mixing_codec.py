@@ -66,6 +66,52 @@ def test_codec_parity_with_sentencepiece(spark, sf_dir):
     assert all(piece_codec.parity(raw, texts + odd))
 
 
+def test_codec_query_equals_the_other_library(spark):
+    import hashlib
+
+    import sentencepiece
+
+    d = "/root/testdata/sf0.01"
+    theirs = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    got = op3_piece_codec(spark, d).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = theirs.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.round_trip) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), theirs.decode(want) == texts[r.doc_id])
+    checked = [r.parity for r in got if r.parity is not None]
+    assert all(checked) and 20 < len(checked) < 150
+
+
+def test_segments_change_no_id(monkeypatch):
+    import base64
+    import random
+
+    raw = open(PIECE_MODEL, "rb").read()
+    made = piece_codec.Codec(piece_codec.parse(raw))
+    rng = random.Random(3)
+    long = ["word and Zahl été  " * 400, base64.b64encode(rng.randbytes(6000)).decode(), "日本語 🎉\u0000\t\n\n x" * 80, "▁a  b" * 90, "a" * 3000, " lead " * 60, "x" + "\n" * 500]
+    long += ["".join(rng.choice("ab \né▁Zq日") for _ in range(3000)) for _ in range(5)]
+    for most in (1, 7, 64):
+        monkeypatch.setattr(piece_codec, "CUT", most)
+        assert all("".join(made.segments(t)) == t for t in long) and sum(len(made.segments(t)) for t in long) > 200
+        assert all(piece_codec.parity(raw, long))
+
+
+def test_long_texts_take_bounded_memory():
+    import subprocess
+    import sys
+
+    body = (
+        "import resource, sys; from packloom.llm import piece_codec as c; m = c.Codec(c.parse(open(sys.argv[1], 'rb').read()));"
+        "used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024;"
+        "text = ' '.join(f'word{i} of a long text' for i in range(180_000)); before = used(); ids, back = m.both([text]);"
+        "assert back[0] == text and len(text) > 4_000_000; print(used() - before)"
+    )
+    grown = float(subprocess.run([sys.executable, "-c", body, PIECE_MODEL], capture_output=True, text=True, check=True).stdout)
+    assert grown < 200
+
+
 def test_codec_rows(spark, sf_dir):
     got = op3_piece_codec(spark, sf_dir)
     assert got.count() == 200 and got.filter("not round_trip").count() == 0
@@ -73,6 +119,8 @@ def test_codec_rows(spark, sf_dir):
     got = piece_codec.codec(rows, open(PIECE_MODEL, "rb").read()).toPandas()
     assert list(got.n_tokens[:2]) == [0, 0] and list(got.decoded[:3]) == ["", "", "a b"] and list(got.round_trip) == [True] * 5 + [False]
     assert piece_codec.codec(rows.limit(0), open(PIECE_MODEL, "rb").read()).count() == 0
+    short = piece_codec.codec(rows, open(PIECE_MODEL, "rb").read(), decoded=False)
+    assert short.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and [list(r.ids) for r in short.collect()] == [list(x) for x in got.ids]
 
 
 def test_unigram_model_is_rebuilt():
