@@ -1,4 +1,4 @@
-"""Arrow batches in bounded pieces."""
+"""Arrow batches in bounded pieces, and names for columns of one's own."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once in a Python worker; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -23,3 +24,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
             total += n
         if len(sizes) > start:
             yield b.slice(start)
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

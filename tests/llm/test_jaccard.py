@@ -20,7 +20,7 @@ def brute(rows):
     for k, (_, s) in enumerate(sets):
         for g in s:
             by.setdefault(g, []).append(k)
-    near = {(a, b) for v in by.values() if len(v) < 500 for a in v for b in v if a < b}
+    near = {(a, b) for v in by.values() for a in v for b in v if a < b}
     for a, b in near:
         (i, s), (j, t) = sets[a], sets[b]
         if 10 * len(s & t) >= 8 * len(s | t):
@@ -91,6 +91,90 @@ def test_blocks_edges_and_clashing_names(spark, monkeypatch):
     assert jj.classes(df.limit(0)).count() == 0 and jj.keep_one(df.limit(0)).count() == 0
 
 
+def near_copies(rng, n, words, most, vocabulary=3000):
+    base = [f"w{rng.randrange(vocabulary)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(words)] = f"changed{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 9, 20])
+def test_large_groups_meet_leads_and_pivots(spark, monkeypatch, most):
+    """Tight groups are decided by the lead and the pivot alone; loose ones leave rows that meet in blocks."""
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    met = []
+    monkeypatch.setattr(jj, "_open_pairs", lambda rows, group, block, f=jj._open_pairs: met.append(group) or f(rows, group, block))
+    rng = random.Random(most)
+    texts = near_copies(rng, 100, 300, most) + near_copies(rng, 40, 60, 3 if most > 2 else 0) + ["one lonely text with words of its own"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[3]) for i in range(20)] + [(900, texts[4])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.classes(df).collect()}
+    want = brute(rows)
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    full = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    assert all(got[rows[k][0]][1] == full[k][1] for k in range(len(rows)))
+    assert ("comp" in met) == (most > 2)
+
+
+def test_descent_shortens_prefixes_until_the_target(spark):
+    import pyarrow as pa
+
+    family = jj._hash_family(jj.TREES * jj.DEPTH)
+    rng = random.Random(9)
+    close, mid = near_copies(rng, 3, 400, 1), near_copies(rng, 2, 400, 4)
+    sig = [jj.signature(jj.shingles(t), family) for t in close + mid]
+    depths = []
+
+    def seen(similarity, depth, trees=jj.TREES, f=jj.recall):
+        depths.append(depth)
+        return f(similarity, depth, trees)
+
+    def table(which, shared):
+        order = sorted(((sig[i][:shared].tobytes() + bytes([k]) * 4 * (jj.DEPTH - shared), i) for k, i in enumerate(which)))
+        return pa.table({"rep": [i for _, i in order], "sig": [sig[i].tobytes() for _, i in order], "label": [x for x, _ in order]})
+
+    old, jj.recall = jj.recall, seen
+    try:
+        same = jj._descend(table([0, 1, 2], jj.DEPTH), 0.6, 4, jj.TARGET_RECALL)
+        assert same.num_rows == 2 and set(depths) == {jj.DEPTH}  # whole labels agree and the candidates are close
+        depths.clear()
+        assert jj._descend(table([0, 1, 2], 4), 0.6, 4, jj.TARGET_RECALL).num_rows == 2 and set(depths) == {4}
+        assert jj._descend(table([0, 3, 4], 4), 0.6, 4, jj.TARGET_RECALL).num_rows == 1
+    finally:
+        jj.recall = old
+
+
+def test_recall_of_planted_pairs(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(300):
+        words = [f"p{rng.randrange(10**5)}" for _ in range(100)]
+        cut = 100 - 5 * (k % 3) - 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:cut] + [f"q{rng.randrange(10**5)}" for _ in range(3 * (k % 3))]))]
+        a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows[-2:])
+        want.append(10 * len(a & b) >= 8 * len(a | b))
+    got = {r.doc_id: r.class_id for r in jj.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [got[2 * k + 1] == 2 * k for k in range(300)]
+    assert sum(want) > 150 and sum(h and w for h, w in zip(hit, want)) >= 0.99 * sum(want) and not any(h and not w for h, w in zip(hit, want))
+
+
+def test_long_texts_join(spark):
+    long = " ".join(f"word{i % 9973}x{i // 7}" for i in range(300_000))
+    rows = [(1, long), (2, long + " and a few words more"), (3, "x" * 1_000_000), (4, "x" * 1_000_000 + " y"), (5, long[: len(long) // 2])]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_keep_one_takes_any_column_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, None, 5, 6)], "doc_id long, text string, goes int, _Goes int")
+    kept = jj.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 1, 2), (3, None, 5, 6)]
+
+
 @pytest.mark.parametrize("floor", [0, 3])
 def test_hot_keys_change_nothing(spark, sf_dir, monkeypatch, floor):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
