@@ -6,26 +6,32 @@ each source is read in epochs, each epoch a fresh permutation of the source by h
 stream that take the same share of tokens from each source. The last epoch is cut where the source's budget ends.
 
 All steps are native expressions. Permutations rank rows inside hash buckets and add up bucket totals, so a source with
-a third of all rows is spread like any other.
+a third of all rows is spread like any other. Rows equal in id, source and text are counted before they are ranked, and
+epochs and copies are unfolded in bounded steps.
 
 Defined results: a null source is a source of its own; a null or blank text has no tokens and is placed once, with the
-first epoch; rows equal in id and text get places of their own; an empty table gives an empty result; extra columns
-pass. With no tokens at all each row is placed once.
+first epoch; rows equal in id and text get places of their own, side by side; of rows that tie in the permutation the
+order is that of id and text; very long texts count by their words alone; null ids are kept; an empty table gives an
+empty result; extra columns of any name pass. With no tokens at all each row is placed once.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.llm.batches import fresh
 from packloom.llm.quality import let
-from packloom.plans.stash import exclusive_sums, small, stash
+from packloom.plans.stash import BROADCAST_ROWS, exclusive_sums, join_lookup, stash
 
 STEPS = 50
-#: Sources are listed in one row to find the exponent; more are refused.
+#: Sources up to which they are listed in one row to find the exponent; for more it is found by a query a step.
 MAX_SOURCES = 100_000
+#: Copies that are unfolded at once.
+UNFOLD = 4096
 BLOCK_TOKENS = 1 << 16
 _NULL = "\0null"
 
@@ -96,6 +102,54 @@ def plan(sources: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS) -
     return one.select(F.col("x.all.src").alias("src"), F.col("x.shares").alias("share"), "exponent", F.col("x.weights").alias("weight"), quota.alias("quota"), (F.col("x.weights") * block_tokens).alias("per_block"))
 
 
+def plan_wide(sources: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``plan`` for any number of sources: the same bisection, with the sums of each step as aggregates."""
+    live = sources.filter("total > 0")
+    everything, most, least, k = live.agg(F.sum("total"), F.max("total"), F.min("total"), F.count(F.lit(1))).first()
+    if not k:
+        return plan(sources, target, block_tokens)
+    share = F.col("total") / F.lit(everything)
+
+    def sums(a: float) -> tuple[float, float]:
+        raised = F.pow(share, F.lit(a))
+        return tuple(live.agg(F.sum(raised), F.sum(raised * F.log(share))).first())
+
+    def ok(a: float) -> bool:
+        if target.repetition is not None:
+            return (most / least) ** (1 - a) <= target.repetition
+        z, e = sums(a)
+        return math.log(z) - a * e / z >= target.entropy * math.log(k)
+
+    done, lo, hi = (0.0 if target.repetition is not None else 1.0), 0.0, 1.0
+    if ok(done):
+        lo = hi = done
+    else:
+        for _ in range(STEPS):
+            mid = (lo + hi) / 2
+            if ok(mid) == (target.repetition is not None):
+                hi = mid
+            else:
+                lo = mid
+    exponent = hi if target.repetition is not None else lo
+    z, _ = sums(exponent)
+    weighed = live.withColumn("weight", F.pow(share, F.lit(exponent)) / z)
+    if target.repetition is not None:
+        budget = weighed.agg(F.max(F.col("total") / F.col("weight"))).first()[0]
+    else:
+        budget = float(target.budget if target.budget is not None else everything)
+    quota = F.round(F.col("weight") * budget).cast("long")
+    quota = F.greatest(quota, F.col("total")) if target.repetition is not None else quota
+    return weighed.select("src", share.alias("share"), F.lit(exponent).alias("exponent"), "weight", quota.alias("quota"), (F.col("weight") * block_tokens).alias("per_block"))
+
+
+def unfold(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, ``name`` counting from 0; no array is longer than ``UNFOLD`` or its number of parts."""
+    parts = F.when(times > 0, F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / UNFOLD))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn(name, F.explode(parts))
+    inside = F.sequence(F.col(f"`{name}`") * UNFOLD, F.least(times, (F.col(f"`{name}`") + 1) * UNFOLD) - 1)
+    return rows.withColumn(name, F.explode(inside))
+
+
 def _content(text_col: str) -> Column:
     return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
@@ -105,22 +159,27 @@ def _ranked(id_col: str, text_col: str, epoch: Column) -> Column:
 
 
 def _prepare(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Distinct rows with their number ``c``, the plan of each source, and the numbers of sources and of all rows."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("src"),
-        tokens_of(F.col(text_col)).alias("n"), _content(text_col).alias("content"), F.monotonically_increasing_id().alias("row"),
+        tokens_of(F.col(text_col)).alias("n"), _content(text_col).alias("content"),
     )
-    rows = stash(rows)
-    sources = stash(rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total")))
+    rows = stash(rows.groupBy("id", "source", "src", "n", "content").agg(F.count(F.lit(1)).alias("c")))
+    sources = stash(rows.groupBy("src").agg(F.sum("c").alias("n_docs"), F.sum(F.col("n") * F.col("c")).alias("total")))
     seen = sources.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()
-    if seen["k"] > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    planned = sources.join(plan(sources, target), "src", "left").withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("per_block", F.coalesce("per_block", F.lit(1.0)))
+    found = plan(sources, target) if seen["k"] <= MAX_SOURCES else plan_wide(sources, target)
+    planned = sources.join(found, "src", "left").withColumn("quota", F.coalesce("quota", F.lit(0))).withColumn("per_block", F.coalesce("per_block", F.lit(1.0)))
     # epochs that are read, and how many of them whole
     read = F.when(F.col("total") > 0, F.ceil(F.col("quota") / F.greatest("total", F.lit(1)))).otherwise(1)
-    planned = planned.withColumn("epochs", F.greatest(read, F.lit(1)).cast("int")).withColumn("left", F.col("quota") - (F.col("epochs") - 1) * F.col("total"))
+    planned = planned.withColumn("epochs", F.greatest(read, F.lit(1)).cast("long")).withColumn("left", F.col("quota") - (F.col("epochs") - 1) * F.col("total"))
     return rows, stash(planned), seen["k"], seen["n"]
 
 
+def _of_source(rows: DataFrame, planned: DataFrame, k: int, n: int, key: str = "src", size: str = "n_docs") -> DataFrame:
+    """Join each row with its source's line of the plan; rows of a hot source stay where they are."""
+    return rows.join(F.broadcast(planned), key) if k <= BROADCAST_ROWS else join_lookup(rows, planned, key, size, n)
+
+
 def _offsets(copies: DataFrame, n_rows: int) -> DataFrame:
     """Add ``offset``: tokens of the same source and epoch before a row, in the order of the permutation.
 
@@ -128,13 +187,13 @@ def _offsets(copies: DataFrame, n_rows: int) -> DataFrame:
     """
     h = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("content"), F.col("epoch").cast("string")))
     scale = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12) * max(n_rows, 1)).cast("long")
-    keyed = copies.withColumn("h", h).withColumn("key", scale)
-    w = Window.partitionBy("src", "epoch", "key").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
-    # rows that share a key are few, being about one a key; copies of one row share a hash and follow one another
-    per_key = keyed.groupBy("src", "epoch", "key").agg(F.sum("n").alias("n"))
-    before = exclusive_sums(per_key, "key", "n", "before", partition=["src", "epoch"]).drop("n")
-    inside = keyed.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return inside.join(before, ["src", "epoch", "key"]).withColumn("offset", F.col("before") + F.col("inside")).drop("before", "inside", "key")
+    keyed = copies.withColumn("h", h).withColumn("key", scale).withColumn("tokens", F.col("n") * F.col("c"))
+    # rows that share a key are few, being about one a key
+    w = Window.partitionBy("src", "epoch", "key").orderBy("h", "id", "content").rowsBetween(Window.unboundedPreceding, -1)
+    per_key = keyed.groupBy("src", "epoch", "key").agg(F.sum("tokens").alias("tokens"))
+    before = exclusive_sums(per_key, "key", "tokens", "before", partition=["src", "epoch"]).drop("tokens")
+    inside = keyed.withColumn("inside", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    return inside.join(before, ["src", "epoch", "key"]).withColumn("offset", F.col("before") + F.col("inside")).drop("before", "inside", "key", "tokens")
 
 
 def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -144,14 +203,14 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     weights within a document's length per source and block.
     """
     rows, planned, k, n = _prepare(docs, target, id_col, text_col, source_col)
-    planned = planned.select("src", "total", "quota", "per_block", "epochs", "exponent", "weight")
-    copies = rows.join(small(planned, k), "src").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    placed = _offsets(copies, n)
+    planned = planned.select("src", "n_docs", "total", "quota", "per_block", "epochs", "exponent", "weight")
+    copies = unfold(_of_source(rows, planned, k, n), F.col("epochs"), "epoch")
+    placed = unfold(_offsets(copies, n), F.col("c"), "nth").withColumn("offset", F.col("offset") + F.col("nth") * F.col("n"))
     at = F.col("epoch") * F.col("total") + F.col("offset")
     whole = (F.col("epoch") == 0) & (F.col("quota") >= F.col("total"))
     keep = whole | ((at < F.col("quota")) & ((F.col("n") > 0) | (F.col("epoch") == 0)))
     return placed.filter(keep).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("n").alias("n_tokens"), F.col("epoch").alias("epoch"),
+        F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("n").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch"),
         F.floor(at / F.col("per_block")).cast("long").alias("mix_block"), at.cast("long").alias("token_offset"), F.round("exponent", 9).alias("exponent"), F.round("weight", 9).alias("weight"),
     )
 
@@ -163,14 +222,14 @@ def repeat(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: st
     one row (equal id and text) share that hash and are in or out together.
     """
     rows, planned, k, n = _prepare(docs, target, id_col, text_col, source_col)
-    last = rows.join(small(planned, k), "src").filter("total > 0").withColumn("epoch", F.col("epochs") - 1)
+    last = _of_source(rows, planned, k, n).filter("total > 0").withColumn("epoch", F.col("epochs") - 1)
     cut = _offsets(last, n).filter("offset >= left").groupBy("src").agg(F.min("h").alias("cut"))
-    rule = planned.join(cut, "src", "left").select(F.struct("src", "epochs", "cut", (F.col("total") == 0).alias("blank")).alias("_mix"))
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL))
-    out = docs.join(small(rule, k), src == F.col("_mix.src"))
-    h = _ranked(id_col, text_col, F.col("_mix.epochs") - 1)
-    tail = F.col("_mix.cut").isNull() | (h < F.col("_mix.cut"))
-    times = F.when(F.col("_mix.blank"), 1).when(tokens_of(F.col(text_col)) == 0, 1).otherwise(F.col("_mix.epochs") - F.when(tail, 0).otherwise(1))
     names = docs.columns
-    # explode_outer would keep rows placed no times
-    return out.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("_mix", "_copy").select(*[F.col(f"`{c}`") for c in names])
+    key, size, mark, copy = (fresh(docs, x) for x in ("mix_key", "mix_size", "mix_rule", "mix_copy"))
+    rule = planned.join(cut, "src", "left").select(F.col("src").alias(key), F.col("n_docs").alias(size), F.struct("epochs", "cut", (F.col("total") == 0).alias("blank")).alias(mark))
+    out = _of_source(docs.withColumn(key, F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL))), stash(rule) if k > BROADCAST_ROWS else rule, k, n, key, size)
+    of = lambda x: F.col(f"{mark}.{x}")
+    h = _ranked(id_col, text_col, of("epochs") - 1)
+    tail = of("cut").isNull() | (h < of("cut"))
+    times = F.when(of("blank"), 1).when(tokens_of(F.col(text_col)) == 0, 1).otherwise(of("epochs") - F.when(tail, 0).otherwise(1))
+    return unfold(out, times, copy).select(*[F.col(f"`{c}`") for c in names])

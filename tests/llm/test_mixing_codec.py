@@ -43,6 +43,38 @@ def test_mix_to_an_entropy(spark, sf_dir):
     assert (taken - w).abs().max() < 0.02
 
 
+@pytest.mark.parametrize("target", [mixing.Target(repetition=2.0), mixing.Target(repetition=1e9), mixing.Target(entropy=0.8), mixing.Target(entropy=0.8, budget=500), mixing.Target(entropy=0.01)])
+def test_many_sources_are_planned_alike(spark, target):
+    sources = spark.createDataFrame([(f"s{i}", 1, 3 + i * i * 7) for i in range(40)] + [("blank", 1, 0)], "src string, n_docs long, total long")
+    one, two = (sorted(map(tuple, f(sources, target).collect())) for f in (mixing.plan, mixing.plan_wide))
+    assert len(one) == len(two) == 40
+    for a, b in zip(one, two):
+        assert a[0] == b[0] and a[1:4] == pytest.approx(b[1:4], rel=1e-9) and abs(a[4] - b[4]) <= 1 and a[5] == pytest.approx(b[5])
+    assert mixing.plan_wide(sources.limit(0), target).count() == 0
+
+
+def test_shuffled_plans_and_repeated_rows(spark, monkeypatch):
+    rows = [(i % 30, "one two three " * (1 + i % 30 % 4), "hot" if i % 30 < 20 else f"s{i % 30}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    target = mixing.Target(entropy=0.95)
+    want = sorted(map(tuple, mixing.mix(docs, target).collect()))
+    again = sorted(map(tuple, mixing.repeat(docs, target).collect()))
+    for source in ("hot", "s25"):
+        taken = sorted((r[5], r[2]) for r in want if r[1] == source and r[3] == 0)
+        assert [x for x, _ in taken] == [sum(n for _, n in taken[:k]) for k in range(len(taken))]
+    for name, value in (("MAX_SOURCES", 3), ("BROADCAST_ROWS", 3), ("UNFOLD", 4)):
+        monkeypatch.setattr(mixing, name, value)
+        assert sorted(map(tuple, mixing.mix(docs, target).collect())) == want
+        assert sorted(map(tuple, mixing.repeat(docs, target).collect())) == again
+
+
+def test_repeat_takes_any_column_name(spark):
+    names = ["mix_key", "_mix_key", "MIX_SIZE", "mix_rule", "mix_copy", "_mix", "_copy"]
+    docs = spark.createDataFrame([(1, "a b", "x", *range(7)), (2, "c d e f", "y", *range(7))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.repeat(docs, mixing.Target(repetition=2.0))
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
+
+
 def test_repeat_and_edges(spark):
     rows = [(i, "one two three " * (1 + i % 5), "hot", None) for i in range(200)] + [(i, "x y z", None, 5) for i in range(200, 230)]
     rows += [(None, None, "hot", 1), (7, "", "blank", 1), (300, "t " * 200_000, "long", 2), (300, "t " * 200_000, "long", 2)]
