@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once in a Python worker; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch of texts; Spark's own bound of 10,000 rows can mean hundreds of megabytes.
+BATCH_ROWS = 1000
+#: Bytes of text after which a worker gives freed memory back to the system.
+TRIM_BYTES = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the rows of an Arrow batch, which counts when a plan is run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Give freed memory back, so that an idle worker does not hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts hold about ``most`` bytes."""
+    read = 0
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b[text]), 0).to_pylist()
         start = total = 0
@@ -24,6 +48,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
             total += n
         if len(sizes) > start:
             yield b.slice(start)
+        read += sum(sizes)
+        if read > TRIM_BYTES:
+            read = 0
+            trim()
+    trim()
 
 
 def fresh(rows: DataFrame, name: str) -> str:

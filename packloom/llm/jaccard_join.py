@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.batches import fresh, pieces
+from packloom.llm.batches import bound_batches, fresh, pieces
 from packloom.llm.components import components, forest
 from packloom.plans.stash import exclusive_sums, join_lookup, scratch, small, stash
 
@@ -145,6 +145,8 @@ def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) ->
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(TREES * DEPTH)
         for b in pieces(batches):

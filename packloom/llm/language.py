@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.llm.batches import pieces
+from packloom.llm.batches import bound_batches, pieces
+from packloom.plans.stash import small, stash
 
 HIDDEN = 8
 WINDOW = 96
 PER_LANG, PIECES, MAX_ROWS = 300, 4, 60_000
+#: How many times the wanted rows of a language its hash threshold lets through, about.
+DRAW = 4
 STEPS, BATCH, RATE = 240, 160, 0.02
 #: Windows that are run at once.
 AT_ONCE = 8192
@@ -156,14 +159,39 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _drawn(rows: DataFrame) -> DataFrame:
+    """The ``PER_LANG`` rows of least hash of each language, as (lang, h, x, r).
+
+    Languages are counted first; of a large one only rows below a hash threshold that leaves about ``DRAW`` times as many
+    as wanted are ranked, so what is shuffled is bounded by the number of languages, not by rows or tasks. Rows that
+    repeat share a hash and are in or out together, so a language of few distinct rows is asked again without a threshold.
+    """
+    counts = stash(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n = counts.count()
+    least = -float(1 << 63)
+    limit = F.when(F.col("n") <= DRAW * PER_LANG, F.lit(float(1 << 63))).otherwise(least + F.lit(float(1 << 64)) * (DRAW * PER_LANG) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("h", "x")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANG).select("lang", "h", "x", "r")
+
+    kept = ranked(rows.join(small(counts.select("lang", limit.alias("limit")), n), "lang").filter(F.col("h") <= F.col("limit")))
+    kept = stash(kept)
+    short = counts.join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("got")), "lang", "left").filter(F.coalesce("got", F.lit(0)) < F.least("n", F.lit(PER_LANG))).select("lang")
+    short = stash(short)
+    again = short.count()
+    if not again:
+        return kept
+    return kept.join(small(short, again), "lang", "left_anti").unionByName(ranked(rows.join(small(short, again), "lang", "left_semi")))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Params | None]:
     """The languages seen and the fitted network. Only windows of the sampled rows reach the driver."""
     text = F.col(text_col)
     rows = docs.filter(text.isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & (F.length(text) > 0))
     starts = [F.floor(F.greatest(F.length(text) - WINDOW, F.lit(0)) * (i / max(PIECES - 1, 1))).cast("int") + 1 for i in range(PIECES)]
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), F.array(*[F.substring(text, s, F.lit(WINDOW)) for s in starts]).alias("x"))
-    first = Window.partitionBy("lang").orderBy("h", "x")
-    sample = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANG).orderBy("r", "lang").select("lang", "h", "x").limit(MAX_ROWS).collect()
+    sample = _drawn(rows).orderBy("r", "lang").select("lang", "h", "x").limit(MAX_ROWS).collect()
     langs = sorted({r["lang"] for r in sample})
     if not langs:
         return [], None
@@ -175,6 +203,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, langs: list[str], params: Params | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) of every row, from its text alone."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             raws = [(t or "").encode() if ok and params is not None else b"" for t, ok in zip(b["text"].to_pylist(), b["letters"].to_pylist(), strict=True)]

@@ -1,12 +1,14 @@
 """License scans with ordered signature rules.
 
-Each rule is a regex with a label, a priority, a score and keywords, one of which every match holds. One automaton pass
+Each rule is a regex with a label, a priority, a score and keywords, one of which every match holds: license names in the
+forms in which they are cited (``FAMILIES`` by ``FORMS``), and sentences of the license texts (``license_texts``). One automaton pass
 over the text finds which keywords occur, and only their rules run. A detection inside the interval of one of better or equal priority is
 suppressed, so "licensed under the MIT License" counts once.
 
 Texts have A-Z lower-cased; words are runs of digits, a-z and characters from U+0080 on. Defined results: a null text
 is an empty text (0 words, no places, empty labels, score 0); repeated rows each get their own result; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns of any name are ignored; null ids are kept; very long texts are read whole; of rules
+that tie for an interval the first listed stays.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.batches import pieces
+from packloom.llm.batches import bound_batches, pieces
+from packloom.llm.license_texts import TEXTS
 
 #: Fixed values of the contract: label -> phrase.
 BASE_PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -106,8 +109,12 @@ def stems(spdx: str) -> list[str]:
     return [re.match(r"[a-z0-9-]+", x)[0] for x in re.sub(r"\(.*?\)", "", spdx).split("|")]
 
 
+#: What may stand between two words of a license text.
+GAP = r"""[\s,*#/"'“”;]+"""
+
+
 def signatures() -> list[Signature]:
-    """Every family in every form, best priority first, then in the order given."""
+    """Every family in every form, then the texts; best priority first, then in the order given."""
     out = []
     for label, spdx, keyword, name in FAMILIES:
         spaced = name.replace(" ", r"[\s,]+")
@@ -121,6 +128,7 @@ def signatures() -> list[Signature]:
             shown = "gpl" if label == "gpl-short" else label
             words = (word,) if word else (keyword, *stems(spdx)) if "{spdx}" in form else (keyword,)
             out.append(Signature(shown, priority, score, words, re.compile(form.format(name=spaced_name, spdx=spdx))))
+    out += [Signature(label, priority, score, (word,), re.compile(f"(?<![a-z0-9]){text.replace(' ', GAP)}")) for label, priority, score, word, text in TEXTS]
     return sorted(out, key=lambda s: s.priority)
 
 
@@ -183,6 +191,8 @@ def base_places(low: bytes) -> tuple[int, list[tuple[int, str]]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = signatures()
         keywords = automaton(rules)

@@ -115,3 +115,54 @@ def test_many_languages_share_the_training_rows(spark, monkeypatch):
     langs, y = language.train(rows.repartition(5))
     assert langs == [f"l{i:02}" for i in range(12)]
     assert [int((y == k).sum()) for k in range(12)] == [2 * language.PIECES] * 12
+
+
+def test_the_draw_is_that_of_all_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lg, "PER_LANG", 5)
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, "big").when(F.col("id") < 3990, "mid").otherwise("few").alias("lang"), F.xxhash64("id").alias("h"), F.array(F.col("id").cast("string")).alias("x"))
+    same = spark.range(500).select(F.lit("same").alias("lang"), F.xxhash64(F.lit(3)).alias("h"), F.array(F.lit("s")).alias("x"))
+    rows = rows.unionByName(same)
+    got = lg._drawn(rows).collect()
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.lang, []).append((r.h, r.x))
+    for k, v in want.items():
+        assert sorted((r.h, r.x) for r in got if r.lang == k) == sorted(v)[:5]
+
+
+def test_predictions_match_brute_force(spark):
+    """Each text alone, byte by byte, through a plain copy of the network."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, p = lg.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def run(raw, w, u):
+        hidden, h, out = u.shape[0], np.zeros(u.shape[0]), []
+        for c in raw:
+            g, a = w[c].astype(float), h @ u
+            z, r = (np.clip(0.25 * (g + a)[k * hidden : (k + 1) * hidden] + 0.5, 0, 1) for k in (0, 1))
+            n = np.clip(g[2 * hidden :] + r * a[2 * hidden :], -1, 1)
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return np.array(out)
+
+    checked = 0
+    for r in lg.identify(docs, langs, p).collect():
+        raw = texts[r.doc_id].encode()
+        if len(raw) > 3000 or not any(ch.isalpha() for ch in texts[r.doc_id]):
+            continue
+        total = np.zeros(len(langs))
+        for k in range(0, len(raw), lg.WINDOW):
+            part = raw[k : k + lg.WINDOW]
+            padded = part.ljust(lg.WINDOW)  # the last window runs on over blanks, which do not count
+            o = run(padded, p["wf"], p["uf"]) @ p["vf"] + run(padded[::-1], p["wb"], p["ub"])[::-1] @ p["vb"] + p["c"]
+            e = np.exp(o - o.max(axis=1, keepdims=True))
+            total += (e / e.sum(axis=1, keepdims=True))[: len(part)].sum(axis=0)
+        total /= len(raw)
+        assert r.score == pytest.approx(total.max(), abs=1e-4)
+        if np.sort(total)[-1] - np.sort(total)[-2] > 1e-3:
+            assert r.lang_pred == langs[int(total.argmax())]
+        checked += 1
+    assert checked > 60

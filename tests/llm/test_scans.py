@@ -59,6 +59,48 @@ def test_license_keywords_lose_no_detection():
         assert licenses.detect(t, rules, words) == ungated, t
 
 
+def brute_detect(low, rules):
+    """All rules without the prefilter; a detection inside one of better or equal priority goes."""
+    hits = sorted(((m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(low)), key=lambda h: (h[0], -h[1], h[2].priority))
+    inside = lambda k, h: any(g[0] <= h[0] and h[1] <= g[1] and (g[2].priority < h[2].priority or g[2].priority == h[2].priority and (g[:2] != h[:2] or j < k)) for j, g in enumerate(hits))
+    return [h for k, h in enumerate(hits) if not inside(k, h)]
+
+
+NOTICES = [
+    "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance\n# with the License.",
+    "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version. */",
+    "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided ... Neither the name of the Org nor the names of its contributors\n may be used to endorse or promote products derived from this software",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+    "gnu general\npublic license, version 3", "gnu\tgeneral public\nlicense", "licensed under the creative\n  commons attribution 4.0", "python\nsoftware foundation license", "license: cc-by-sa-4.0", "license: bsl-1.0", "license: gpl-3.0",
+    "see https://www.gnu.org/licenses/gpl-3.0.html or http://www.apache.org/licenses/LICENSE-2.0 and https://creativecommons.org/licenses/by-sa/4.0/",
+]
+
+
+def test_license_labels_and_scores_match_all_rules(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + NOTICES
+    rules = licenses.signatures()
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    labelled = 0
+    for i, t in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        hits, base = brute_detect(low, rules), brute_licenses(t)
+        assert got[i].labels == ",".join(sorted({h[2].label for h in hits} | set(filter(None, base[4].split(","))))), t[:300]
+        assert got[i].score == max([h[2].score for h in hits] + [0.5] * bool(base[1]), default=0.0)
+        assert got[i].detections == [f"{h[2].label}:{h[0]}:{h[1]}" for h in hits]
+        labelled += bool(hits)
+    want = ["apache,apache-2.0", "gpl,gpl-2.0", "bsd,bsd-3-clause", "mit", "gpl,gpl-3.0", "gpl", "cc-by", "psf-2.0", "cc-by-sa", "bsl-1.0", "gpl-3.0", "apache-2.0,cc-by-sa,gpl-3.0"]
+    assert [got[len(texts) - len(NOTICES) + k].labels for k in range(len(NOTICES))] == want and labelled > len(NOTICES)
+
+
+def test_license_rules_hold_their_keywords():
+    from packloom.llm.license_texts import TEXTS
+
+    rules = licenses.signatures()
+    assert len(TEXTS) > 150 and len(rules) > 400
+    for label, priority, score, word, text in TEXTS:
+        assert word in text.replace("\\.", ".").lower() and 1 <= priority <= 5 and 0 < score <= 1, (label, text)
+
+
 def test_license_edges(spark):
     rows = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "MIT-License é MIT\nlicense", 3), (2, "x " * 200_000 + "mit license", 3)], "doc_id long, text string, labels int")
     got = [tuple(r)[:6] for r in licenses.scan(rows).orderBy("doc_id", "n_words").collect()]
