@@ -1,10 +1,11 @@
-"""Arrow batches in bounded pieces, and names for columns of one's own."""
+"""Arrow batches in bounded pieces and in runs of equal keys, and names for columns of one's own."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,27 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
     trim()
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys from sorted batches; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b[k].to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if held and any(h[k][h.num_rows - 1].as_py() != b[k][0].as_py() for h in held[-1:] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        start = 0
+        for c in cut:
+            held.append(b.slice(start, c - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], int(c)
+        held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fresh(rows: DataFrame, name: str) -> str:
     """A column name that ``rows`` does not have, in any case."""
     taken = {c.lower() for c in rows.columns}

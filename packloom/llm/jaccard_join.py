@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.batches import bound_batches, fresh, pieces
+from packloom.llm.batches import bound_batches, fresh, pieces, runs
 from packloom.llm.components import components, forest
 from packloom.plans.stash import exclusive_sums, join_lookup, scratch, small, stash
 
@@ -164,34 +164,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, content long, n int, s1 long, s2 long, sig binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys from sorted batches; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b[k].to_numpy(zero_copy_only=False) for k in keys]
-        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        if held and any(h[k][h.num_rows - 1].as_py() != b[k][0].as_py() for h in held[-1:] for k in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        start = 0
-        for c in cut:
-            held.append(b.slice(start, c - start))
-            yield pa.Table.from_batches(held)
-            held, start = [], int(c)
-        held.append(b.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _grouped(rows: DataFrame, keys: list[str], body: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] | None = None) -> DataFrame:
     """Apply ``body`` to each run of equal keys, sorted by ``order``; small groups cost no Spark group of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
         count = 0
-        for table in _runs(batches, keys):
+        for table in runs(batches, keys):
             if (out := body(table)) is not None and out.num_rows:
                 made.append(out)
                 count += out.num_rows

@@ -34,7 +34,19 @@ def check(got, want, least=0.9):
 
 
 def test_chi_square():
-    assert nn.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+    assert nn.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3) and nn.chi_square_quantile(0.95, 24) == pytest.approx(36.415, abs=1e-3)
+
+
+def test_dense_cells_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nn, "CELL", 64)
+    monkeypatch.setattr(nn, "QUERIES", 8)
+    monkeypatch.setattr(nn, "SAMPLE", 40)  # far fewer cells than blocks
+    x = np.random.default_rng(4).normal(size=(1500, 10))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sizes = []
+    monkeypatch.setattr(nn.Index, "visit", lambda self, asks, f=nn.Index.visit: sizes.append(self.blocks.agg({"nb": "max"}).first()[0]) or f(self, asks))
+    check(nn.nearest(df).toPandas(), brute_nearest(list(zip(range(1500), x))))
+    assert max(sizes) > 1
 
 
 def test_nearest_recall(spark):
@@ -43,8 +55,23 @@ def test_nearest_recall(spark):
     check(op6_nearest_neighbours(spark, d).toPandas(), brute_nearest(rows))
 
 
-def test_nearest_over_many_cells_with_copies(spark, monkeypatch):
+def test_near_neighbours_spare_most_vectors(spark):
+    """Where neighbours are much nearer than the rest, the test excludes most cells and vectors."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(60, 32)) * 4
+    x = (centres[np.arange(6000) % 60] + r.normal(size=(6000, 32)) * 0.4)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, found, n = nn.search_all(df, 20, 20, "vec_id", "embedding")
+    share = found.agg({"verified": "sum"}).first()[0] / (asked.count() * n)
+    assert n == 6000 and share < 0.1
+    check(nn.nearest(df).toPandas(), brute_nearest(list(zip(range(6000), x))))
+
+
+@pytest.mark.parametrize("queries", [1024, 10])
+def test_nearest_over_many_cells_with_copies(spark, monkeypatch, queries):
     monkeypatch.setattr(nn, "CELL", 128)
+    monkeypatch.setattr(nn, "QUERIES", queries)
     r = np.random.default_rng(2)
     x = r.normal(size=(900, 12)) * r.uniform(0.2, 3, (900, 1))  # norms differ
     x[300:600] = x[7]  # a third are one vector
