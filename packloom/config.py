@@ -1,4 +1,4 @@
-"""Validated settings. Defaults are those of the reference's live configuration."""
+"""Validated settings with their defaults."""
 
 from __future__ import annotations
 

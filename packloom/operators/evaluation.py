@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.plans.stash import join_lookup
 
-def unigram_loss(targets: DataFrame) -> DataFrame:
-    """Add ``nll`` to rows with a ``target``: -log of its add-one share among these targets."""
-    counts = targets.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+def target_counts(chunks: DataFrame, eos: str, by: Column | None = None) -> DataFrame:
+    """(by, target, n): how often each target other than ``eos`` stands in the chunks, in all or by a column."""
+    targets = F.filter(F.slice("tokens", F.lit(2), F.size("tokens") - 1), lambda t: t != eos)
+    keys = [by.alias("by")] if by is not None else []
+    rows = chunks.select(*keys, F.explode(targets).alias("target"))
+    return rows.groupBy(*(["by"] if keys else []), "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unigram_nll(counts: DataFrame) -> DataFrame:
+    """(target, n, nll) from (target, n): -log of a target's add-one share. One row a target, no row a token."""
     total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    p = counts.crossJoin(F.broadcast(total)).select("target", (-F.log((F.col("n") + 1) / (F.col("all") + F.col("kinds")))).alias("nll"))
-    return targets.join(p, "target")
+    return counts.crossJoin(F.broadcast(total)).select("target", "n", (-F.log((F.col("n") + 1) / (F.col("all") + F.col("kinds")))).alias("nll"))
+
+
+def mean_nll(rated: DataFrame) -> DataFrame:
+    """(loss, n): the mean over all counted tokens."""
+    return rated.agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
 
 
 def perplexity(loss: Column, cap: float = 10.0) -> Column:
@@ -19,8 +32,9 @@ def perplexity(loss: Column, cap: float = 10.0) -> Column:
 
 
 def mean_of_batches(losses: DataFrame, batch: str = "batch_id", most: int = 5000) -> DataFrame:
-    """The mean over the first ``most`` batches of each batch's mean loss: batches, not tokens, weigh the same."""
-    means = losses.groupBy(batch).agg(F.avg("nll").alias("m")).orderBy(batch).limit(most)
+    """The mean over the first ``most`` batches of each batch's mean loss: batches, not tokens, weigh the same.
+    Rows are (batch, nll, n), n of a kind."""
+    means = losses.groupBy(batch).agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("m")).orderBy(batch).limit(most)
     return means.agg((F.coalesce(F.sum("m"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"), F.count(F.lit(1)).alias("batches"))
 
 
@@ -80,7 +94,33 @@ def until_eos(tokens: DataFrame, eos: str, key: str = "seq", pos: str = "pos", t
     return tokens.withColumn("_s", stop).filter(F.col("_s").isNull() | (F.col(pos) <= F.col("_s"))).drop("_s")
 
 
-def decode(ids: DataFrame, vocab: DataFrame, key: str = "seq") -> DataFrame:
-    """(key, text): tokens of (key, pos, id) joined in order."""
-    rows = ids.join(vocab, "id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+def decode(ids: DataFrame, vocab: DataFrame, total: int, key: str = "seq") -> DataFrame:
+    """(key, text): tokens of (key, pos, id) joined in order. ``vocab`` (id, token, n) holds in n how many of the
+    ``total`` rows have an id, so that rows of frequent tokens stay where they are."""
+    rows = join_lookup(ids, vocab.select("id", "token", "n"), "id", "n", total).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
     return rows.select(key, F.array_join(F.col("x.token"), " ").alias("text"))
+
+
+def last_position(rows: DataFrame, key: str = "seq", pos: str = "pos") -> DataFrame:
+    """The row of the greatest position of each sequence."""
+    rest = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(rest, F.col(pos)).alias("_x")).select(key, "_x.*")
+
+
+def adamw(rows: DataFrame, step: int, rate: float, beta1: float = 0.9, beta2: float = 0.95, eps: float = 1e-8, decay: float = 0.01) -> DataFrame:
+    """(name, p, m, v) after one decoupled-decay Adam step on arrays (name, p, g, m, v)."""
+    m = F.zip_with("m", "g", lambda a, g: beta1 * a + (1 - beta1) * g)
+    v = F.zip_with("v", "g", lambda a, g: beta2 * a + (1 - beta2) * g * g)
+    moved = rows.select("name", "p", m.alias("m"), v.alias("v"))
+    ratio = F.zip_with("m", "v", lambda a, b: (a / (1 - beta1**step)) / (F.sqrt(b / (1 - beta2**step)) + eps))
+    p = F.zip_with("p", ratio, lambda x, r: x * (1 - rate * decay) - rate * r)
+    return moved.select("name", p.alias("p"), "m", "v")
+
+
+def stop_flags(votes: DataFrame, step: str = "step") -> DataFrame:
+    """(step, stop): all ranks stop where any of them asks for it."""
+    return votes.groupBy(step).agg(F.max("stop").alias("stop"))
+
+
+def gigabytes(size: Column) -> Column:
+    return size / 1e9

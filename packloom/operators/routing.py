@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.functions.tensor import dot, softmax
+from packloom.functions.tensor import dot, let, softmax
+
+
+#: Experts of a layer; a model has a handful, and a table of more is refused before it is collected into one row.
+MAX_EXPERTS = 4096
+
+
+def _few(experts: DataFrame) -> DataFrame:
+    n = experts.limit(MAX_EXPERTS + 1).count()
+    if n > MAX_EXPERTS:
+        raise ValueError(f"more than {MAX_EXPERTS} experts")
+    return experts
 
 
 def gate(tokens: DataFrame, experts: DataFrame) -> DataFrame:
     """(token_id, x, scores): softmax over experts. ``experts`` (expert, w) has a model's fixed handful of rows, which
     become one row of one array before they meet the tokens, so tokens are not shuffled."""
+    experts = _few(experts)
     listed = experts.agg(F.array_sort(F.collect_list(F.struct("expert", "w"))).alias("_e"))
     logits = F.transform("_e", lambda e: dot(F.col("x"), e["w"]))
     return tokens.crossJoin(F.broadcast(listed)).select("token_id", "x", logits.alias("z")).select("token_id", "x", softmax(F.col("z")).alias("scores"))
@@ -55,15 +67,29 @@ def usage_chart(used: DataFrame, cells: int = 50) -> DataFrame:
     return used.withColumn("bar", F.repeat(F.lit("█"), F.floor(F.col("percent") * cells / 100).cast("int"))).orderBy(F.desc("n"), "expert")
 
 
+def lanes(rows: DataFrame, y: str = "y", key: str = "token_id") -> DataFrame:
+    """(key, dim, value): one row a lane of an array."""
+    return rows.select(key, F.posexplode(y).alias("dim", "value"))
+
+
+def dispatched(tokens: DataFrame, routed: DataFrame, experts: DataFrame) -> DataFrame:
+    """(token_id, x, y): y is the weighted sum of the chosen experts' outputs x * w; zeros without a slot.
+
+    Slots are few, so whole arrays are brought together by token and added there, never a row a lane."""
+    sent = routed.join(F.broadcast(_few(experts)), "expert").groupBy("token_id").agg(F.collect_list(F.struct("weight", "w")).alias("slots"))
+    none = F.array().cast("array<struct<weight:double,w:array<double>>>")
+    rows = tokens.join(sent, "token_id", "left").withColumn("slots", F.coalesce("slots", none))
+    mixed = F.aggregate("slots", F.transform("x", lambda _: F.lit(0.0)), lambda acc, s: F.zip_with(acc, s["w"], lambda a, w: a + w * s["weight"]))
+    return rows.select("token_id", "x", F.zip_with("x", mixed, lambda a, b: a * b).alias("y"))
+
+
 def combine(tokens: DataFrame, routed: DataFrame, experts: DataFrame) -> DataFrame:
-    """(token_id, dim, value): the weighted sum of the chosen experts' outputs x * w; tokens without a slot give zeros."""
-    sent = routed.join(experts.withColumnRenamed("expert", "_x"), F.col("expert") == F.col("_x")).select("token_id", "weight", "w")
-    made = tokens.join(sent, "token_id", "left").select("token_id", F.posexplode(F.zip_with("x", F.coalesce("w", "x"), lambda a, b: a * b)).alias("dim", "v"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    return made.groupBy("token_id", "dim").agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
+    """(token_id, dim, value) of ``dispatched``."""
+    return lanes(dispatched(tokens, routed, experts))
 
 
-def attention(q: DataFrame, kv: DataFrame, group: int, sink: float | None = None) -> DataFrame:
-    """(b, head, pos, dim, value): causal grouped-query attention within each sequence ``b``.
+def attended(q: DataFrame, kv: DataFrame, group: int, sink: float | None = None) -> DataFrame:
+    """(b, head, pos, y): causal grouped-query attention within each sequence ``b``.
 
     q: (b, head, pos, q); kv: (b, kv_head, pos, k, v). Each kv head serves ``group`` query heads. A ``sink`` logit joins
     the denominator and no value. Sequences are short blocks, so the pair join is bounded by rows times block length.
@@ -74,18 +100,28 @@ def attention(q: DataFrame, kv: DataFrame, group: int, sink: float | None = None
     scored = pairs.select("b", "head", "pos", "k_pos", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q").cast("double"))).alias("z"))
     rows = scored.groupBy("b", "head", "pos").agg(F.array_sort(F.collect_list(F.struct("k_pos", "z", "v"))).alias("ks"))
     top = F.array_max(F.col("ks.z")) if sink is None else F.greatest(F.array_max(F.col("ks.z")), F.lit(sink))
-    rows = rows.withColumn("top", top)
-    raised = F.transform("ks", lambda s: F.exp(s["z"] - F.col("top")))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x) + (0.0 if sink is None else F.exp(F.lit(sink) - F.col("top")))
-    rows = rows.withColumn("total", total)
-    out = rows.select("b", "head", "pos", F.explode("ks").alias("s"), "top", "total").select("b", "head", "pos", (F.exp(F.col("s.z") - F.col("top")) / F.col("total")).alias("p"), F.posexplode("s.v").alias("dim", "v"))
-    return out.groupBy("b", "head", "pos", "dim").agg(F.sum(F.col("p") * F.col("v")).alias("value"))
-
-
-def add_shared(tokens: DataFrame, routed: DataFrame, shared: list[float]) -> DataFrame:
-    """``routed`` (token_id, dim, value) plus the output x * shared of the expert that every token visits."""
-    dense = tokens.select("token_id", F.posexplode(F.zip_with("x", F.array(*[F.lit(float(v)) for v in shared]), lambda a, b: a * b)).alias("dim", "more"))
-    return dense.join(routed, ["token_id", "dim"], "left").select("token_id", "dim", (F.col("more") + F.coalesce("value", F.lit(0.0))).alias("value"))
+    zeros = F.transform(F.get("ks", F.lit(0))["v"], lambda _: F.lit(0.0))
+
+    def mixed(us: Column, total: Column) -> Column:
+        return F.aggregate(us, zeros, lambda acc, s: F.zip_with(acc, s["v"], lambda a, v: a + v * (s["u"] / total)))
+
+    def shares(t: Column) -> Column:
+        rest = F.lit(0.0) if sink is None else F.exp(F.lit(sink) - t)
+        us = F.transform("ks", lambda s: F.struct(F.exp(s["z"] - t).alias("u"), s["v"].alias("v")))
+        return let(us, lambda x: let(F.aggregate(x, rest, lambda a, s: a + s["u"]), lambda total: mixed(x, total)))
+
+    return rows.select("b", "head", "pos", let(top, shares).alias("y"))
+
+
+def attention(q: DataFrame, kv: DataFrame, group: int, sink: float | None = None) -> DataFrame:
+    """(b, head, pos, dim, value) of ``attended``."""
+    return attended(q, kv, group, sink).select("b", "head", "pos", F.posexplode("y").alias("dim", "value"))
+
+
+def add_shared(routed: DataFrame, shared: list[float]) -> DataFrame:
+    """(token_id, y): ``routed`` (token_id, x, y) plus the output x * shared of the expert that every token visits."""
+    dense = F.zip_with("x", F.array(*[F.lit(float(v)) for v in shared]), lambda a, b: a * b)
+    return routed.select("token_id", F.zip_with("y", dense, lambda a, b: a + b).alias("y"))
 
 
 def log_lines(used: DataFrame) -> DataFrame:

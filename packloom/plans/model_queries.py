@@ -63,8 +63,8 @@ r AS (SELECT l.token_id, i, sum(l.e[i] * w[i] * p) AS v FROM l JOIN k USING (tok
 SELECT token_id, (i - 1)::INTEGER AS dim, round(e[i] * cos(i) / 8 + coalesce(v, 0), 6) + 0.0 AS value FROM l LEFT JOIN r USING (token_id, i)""")
 def shared_expert_add(spark: SparkSession, d: str) -> DataFrame:
     vec, experts, gated = q._gated(spark, d)
-    routed = routing.combine(vec, routing.top_k(gated, q.TOP), experts)
-    return routing.add_shared(vec, routed, weights(1, LANES, 0)[0]).withColumn("value", F.round("value", 6) + 0.0)
+    routed = routing.dispatched(vec, routing.top_k(gated, q.TOP), experts)
+    return routing.lanes(routing.add_shared(routed, weights(1, LANES, 0)[0])).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("config_schedule", "SELECT event_id AS step, round(3e-4 * CASE WHEN s < 5000 THEN s / 5000.0 ELSE greatest(0.01, 0.01 + 0.99 * 0.5 * (1 + cos(pi() * least((s - 5000) / 495000.0, 1)))) END, 12) AS rate FROM (SELECT event_id, event_id * 60 AS s FROM events)")

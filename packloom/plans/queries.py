@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.config import EOS, ModelConfig, PackConfig
 from packloom.functions import tensor
 from packloom.operators import evaluation, packing, routing
 from packloom.plans.registry import query
+from packloom.plans.stash import join_lookup, stash
 from packloom.sources import checkpoints, listing
 
 C = PackConfig()
@@ -88,10 +89,6 @@ def vocab_table(spark: SparkSession, d: str) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(token, n, id): ids by falling count. Ids come from a global sort, whose ranges give each task its offset."""
-    from pyspark.sql import Window
-
-    from packloom.plans.stash import stash
-
     ranged = stash(counts.repartitionByRange(F.desc("n"), "token").select("token", "n", F.spark_partition_id().alias("_p")))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,8 +100,9 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 @query("decode_tokens", "SELECT doc_id AS seq, array_to_string(string_split(text, ' '), ' ') AS text FROM documents")
 def decode_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = packing.tokenize(read(spark, d, "documents")).select(F.col("doc_id").alias("seq"), F.posexplode("tokens").alias("pos", "token"))
-    vocab = t.select("token").distinct().select("token", F.xxhash64("token").alias("id"))
-    return evaluation.decode(t.join(vocab, "token").select("seq", "pos", "id"), vocab)
+    vocab = stash(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("token")))
+    total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return evaluation.decode(join_lookup(t, vocab, "token", "n", total).select("seq", "pos", "id"), vocab, total)
 
 
 # --- sources -------------------------------------------------------------------------------------------------------
@@ -258,10 +256,11 @@ def moe_combine(spark: SparkSession, d: str) -> DataFrame:
     return routing.combine(vec, routing.top_k(gated, TOP), experts).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("embedding_lookup", "SELECT doc_id, e.vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM documents d JOIN embeddings e ON e.vec_id = d.n_chars % 500")
+@query("embedding_lookup", "SELECT doc_id, e.vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM documents d JOIN embeddings e ON e.vec_id = d.n_chars % (SELECT max(vec_id) + 1 FROM embeddings)")
 def embedding_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids = read(spark, d, "documents").select("doc_id", (F.col("n_chars") % 500).alias("vec_id"))
     table = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    width = table.agg(F.max("vec_id") + 1).first()[0]
+    ids = read(spark, d, "documents").select("doc_id", (F.col("n_chars") % width).alias("vec_id"))
     return ids.join(table, "vec_id").select("doc_id", "vec_id", F.round(tensor.dot(F.col("v"), F.col("v")), 5).alias("norm2"))
 
 
@@ -358,24 +357,23 @@ def attention_sink(spark: SparkSession, d: str) -> DataFrame:
 NLL = f"{TOKENS}, s AS (SELECT chunk_id, target FROM pairs WHERE target <> '{EOS}'), n AS (SELECT target, count(*) AS n FROM s GROUP BY 1), a AS (SELECT sum(n) AS al, count(*) AS kinds FROM n), l AS (SELECT s.chunk_id, -ln((n + 1) / (al + kinds)) AS nll FROM s JOIN n USING (target), a)"
 
 
-def _nll(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.unigram_loss(packing.mask_targets(packing.pairs(chunks_of(spark, d))).select("chunk_id", "target"))
-
-
 @query("unigram_eval_loss", f"WITH {NLL} SELECT round(avg(nll), 6) AS loss, count(*) AS n FROM l")
 def unigram_eval_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _nll(spark, d).agg(F.round(F.avg("nll"), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
+    rated = evaluation.unigram_nll(stash(evaluation.target_counts(chunks_of(spark, d), EOS)))
+    return evaluation.mean_nll(rated).select(F.round("loss", 6).alias("loss"), "n")
 
 
 @query("perplexity", f"WITH {NLL} SELECT round(exp(least(avg(nll), 10)), 3) AS perplexity FROM l")
 def perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return _nll(spark, d).agg(F.round(evaluation.perplexity(F.avg("nll")), 3).alias("perplexity"))
+    rated = evaluation.unigram_nll(stash(evaluation.target_counts(chunks_of(spark, d), EOS)))
+    return evaluation.mean_nll(rated).select(F.round(evaluation.perplexity(F.col("loss")), 3).alias("perplexity"))
 
 
 @query("batch_mean_loss", f"WITH {NLL}, b AS (SELECT chunk_id // {C.batch} AS batch_id, avg(nll) AS m FROM l GROUP BY 1 ORDER BY 1 LIMIT 5000) SELECT round(avg(m), 6) AS loss, count(*) AS batches FROM b")
 def batch_mean_loss(spark: SparkSession, d: str) -> DataFrame:
-    rows = _nll(spark, d).select(F.floor(F.col("chunk_id") / C.batch).alias("batch_id"), "nll")
-    return evaluation.mean_of_batches(rows).withColumn("loss", F.round("loss", 6))
+    counts = stash(evaluation.target_counts(chunks_of(spark, d), EOS, F.floor(F.col("chunk_id") / C.batch)))
+    rated = evaluation.unigram_nll(counts.groupBy("target").agg(F.sum("n").alias("n"))).select("target", "nll")
+    return evaluation.mean_of_batches(counts.join(rated, "target").withColumnRenamed("by", "batch_id")).withColumn("loss", F.round("loss", 6))
 
 
 @query("rank_mean_loss", "SELECT round(sum(o_totalprice) / (max(n) * 4), 4) AS loss FROM (SELECT o_orderkey % 4 AS r, sum(o_totalprice) AS o_totalprice, count(*) AS n FROM orders GROUP BY 1)")
@@ -423,14 +421,14 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
     return n.select("chunks", evaluation.throughput(F.col("chunks"), F.lit(C.context), F.lit(60.0)).alias("tokens_per_s"))
 
 
-@query("topk_sampling", """WITH r AS (SELECT user_id AS step, event_id AS token, value AS logit, (user_id % 97) / 97.0 AS u, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events QUALIFY r <= 5),
+@query("topk_sampling", """WITH r AS (SELECT user_id AS step, event_id AS token, value AS logit, (user_id % 97) / 97.0 AS u, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events QUALIFY r <= 50),
 e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY step)) AS e FROM r), p AS (SELECT *, e / sum(e) OVER (PARTITION BY step) AS p FROM e),
 c AS (SELECT *, sum(p) OVER (PARTITION BY step ORDER BY r) AS c, max(r) OVER (PARTITION BY step) AS lastr FROM p),
 f AS (SELECT *, min(CASE WHEN c > u OR r = lastr THEN r END) OVER (PARTITION BY step) AS first FROM c)
 SELECT step, token, round(p, 6) AS p, r = first AS chosen FROM f""")
 def topk_sampling(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "events").select(F.col("user_id").alias("step"), F.col("event_id").alias("token"), F.col("value").alias("logit"), (F.col("user_id") % 97 / 97.0).alias("u"))
-    return evaluation.sample_top_k(rows, 5).withColumn("p", F.round("p", 6))
+    return evaluation.sample_top_k(rows, 50).withColumn("p", F.round("p", 6))
 
 
 @query("generate_until_eos", "SELECT seq, pos, token FROM (SELECT *, min(CASE WHEN token = 'assistant' THEN pos END) OVER (PARTITION BY seq) AS s FROM (SELECT conv_id AS seq, turn AS pos, role AS token FROM conversations)) WHERE s IS NULL OR pos <= s")

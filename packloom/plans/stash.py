@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns counts as proven small; at 64 bytes a row that is 13 MB.
 BROADCAST_ROWS = 200_000
+#: Narrow rows that one task may order.
+WINDOW_ROWS = 100_000
 #: A key is hot with more than HOT_ROWS rows and more than a HOT_KEYS-th of all rows, so at most HOT_KEYS keys are hot.
 HOT_ROWS, HOT_KEYS = 2048, 100_000
 
@@ -136,8 +138,13 @@ def exclusive_sums(df: DataFrame, key: str, value: str, out: str, partition: lis
 def ranked_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows before a row in the order of the ``order`` columns, which no two rows
     share. Keys of any type and spacing: rows are dealt into ranges, each range is summed alone and shifted by the sums
-    of the ranges before, of which there are as many as tasks. ``df`` should be narrow, as it is stashed once.
+    of the ranges before, of which there are as many as tasks. ``df`` should be narrow, as it is stashed once. Up to
+    ``WINDOW_ROWS`` counted rows one ordered window does it.
     """
+    df = stash(df)
+    if df.count() <= WINDOW_ROWS:
+        whole = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     ranged = stash(ranged)
     sums = ranged.groupBy("_p").agg(F.sum(value).alias("_t"))

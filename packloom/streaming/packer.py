@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from packloom.config import PackConfig
 from packloom.operators.packing import Tokenizer, append_eos, by_space, pack, tokenize
+from packloom.plans.stash import discard
 
 
 def _carry(spark: SparkSession, state: str, batch_id: int) -> tuple[int, DataFrame | None]:
-    """Chunks written before a batch, and its carried tail, from the last committed batch below it."""
-    try:
-        rows = spark.read.parquet(state).filter(F.col("batch") < batch_id)
-    except AnalysisException:
+    """Chunks written before a batch, and its carried tail, from the state that the batch before it left."""
+    if not batch_id:
         return 0, None
-    last = rows.orderBy(F.desc("batch")).limit(1).select("batch", "chunks").first()
-    if last is None:
-        return 0, None
-    return last["chunks"], rows.filter(F.col("batch") == last["batch"]).select("tokens")
+    rows = spark.read.parquet(f"{state}/batch={batch_id - 1}")
+    return rows.first()["chunks"], rows.select("tokens")
 
 
 def pack_stream(docs: DataFrame, out: str, state: str, checkpoint: str, config: PackConfig = PackConfig(), tokenizer: Tokenizer = by_space, key: str = "doc_id") -> StreamingQuery:
     """Write (chunk_id, tokens) to ``out`` as documents arrive, ordered by ``key`` within each trigger.
 
-    State is one row per batch: chunks written so far and the tail. A batch overwrites its own folders, so a replay after
-    a failure changes nothing. The tail, shorter than one chunk, enters the next batch as a document before all others.
+    State is one row per batch: chunks written so far and the tail. A batch reads that of the batch before and overwrites
+    its own folders, so a replay after a failure changes nothing; older state is deleted, as only the last batch can be
+    replayed. The tail, shorter than one chunk, enters the next batch as a document before all others.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -45,6 +42,7 @@ def pack_stream(docs: DataFrame, out: str, state: str, checkpoint: str, config:
         empty = spark.createDataFrame([([],)], "tokens array<string>")
         rest = rest.unionByName(empty).orderBy(F.desc(F.size("tokens"))).limit(1)
         rest.select("tokens", F.lit(done + n).cast("long").alias("chunks")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        discard(spark, f"{state}/batch={batch_id - 2}")
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -172,3 +172,101 @@ def test_streams_read_files_and_folders(spark, sf_dir, tmp_path):
 
 def test_param_count_is_the_reference_total(spark, sf_dir):
     assert [tuple(r) for r in catalog.queries()["param_count"](spark, sf_dir).collect()] == [(44_160_652, 44_160_652)]  # SURVEY 2.9, A19
+
+
+def test_packing_takes_repeated_and_null_keys(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "e f"), (2, "g h")], "doc_id long, text string").coalesce(1)
+    got = [list(r.tokens) for r in packing.pack_documents(docs, PackConfig(2), keep_tail=True).orderBy("chunk_id").collect()]
+    assert got == sequential(["e f", "a b", "c d", "g h"], 3)[0]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_ranked_sums_take_any_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(stash, "WINDOW_ROWS", few)
+    rows = spark.range(3000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("n")).unionByName(spark.createDataFrame([(None, 4)], "k long, n long"))
+    got = sorted(((r.k is not None, r.k or 0), r.n, r.s) for r in stash.ranked_sums(rows, ["k"], "n", "s").collect())
+    before = 0
+    for _, n, s in got:
+        assert s == before
+        before += n
+
+
+def test_rank_and_worker_streams_keep_their_own_tails(spark):
+    docs = [(f"f{i % 5}", i, f"a{i} b{i} c{i}") for i in range(40)]
+    rows = spark.createDataFrame(docs, "path string, doc_id long, text string").withColumn("tokens", F.split("text", " ")).drop("text")
+    got = {}
+    for r in packing.rank_packed(rows, 2, 3, 4).collect():
+        got.setdefault((r["rank"], r.worker), []).append((r.chunk_id, list(r.tokens)))
+    for rank in range(2):
+        mine = sorted(d for d in docs if int(d[0][1:]) % 2 == rank)
+        for worker in range(3):
+            flat = [t for d in mine[worker::3] for t in d[2].split(" ")]
+            assert sorted(got[rank, worker]) == [(k, flat[4 * k : 4 * k + 4]) for k in range(len(flat) // 4)]
+
+
+def test_shuffle_is_a_reproducible_permutation(spark):
+    rows = spark.range(500).withColumnRenamed("id", "doc_id")
+    one, again, other = ([(r.doc_id, r.position) for r in packing.shuffled(rows, s).orderBy("doc_id").collect()] for s in (1, 1, 2))
+    assert one == again != other and sorted(p for _, p in one) == list(range(500))
+
+
+def test_arrow_tokenizer(spark):
+    rows = spark.createDataFrame([(1, "ab c"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: list(r.tokens) for r in packing.tokenize_arrow(rows, lambda: lambda texts: [[ord(c) for c in t] for t in texts]).collect()}
+    assert got == {1: [97, 98, 32, 99], 2: [], 3: []}
+    ids = packing.append_eos(packing.tokenize_arrow(rows, lambda: lambda texts: [[ord(c) for c in t] for t in texts]), 0)
+    assert [list(r.tokens) for r in packing.pack(ids, 3).orderBy("chunk_id").collect()] == [[97, 98, 32], [99, 0, 0]]
+
+
+def test_stream_resumes_after_a_restart_and_a_replay(spark, sf_dir, tmp_path):
+    import os
+    import shutil
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    (tmp_path / "in").mkdir()
+
+    def add(k):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(r.asDict()) for r in rows[k * 50 : (k + 1) * 50]))
+        os.utime(tmp_path / f"in/{k}.json", (1_000_000 + k, 1_000_000 + k))
+
+    def run():
+        stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        packer.pack_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), PackConfig(63)).awaitTermination()
+        return [list(r.tokens) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("chunk_id").collect()]
+
+    add(0), add(1)
+    run()
+    add(2)
+    want = sequential([r.text for r in rows[:150]], 64)[0]
+    assert run() == want
+    os.remove(tmp_path / "cp/commits/2")  # as if the driver was lost before the last commit: the batch is replayed
+    shutil.rmtree(tmp_path / "out/batch=2")
+    for crc in (tmp_path / "cp/commits").glob(".2.crc"):
+        crc.unlink()
+    assert run() == want
+    assert len(list((tmp_path / "state").iterdir())) <= 2
+    add(3)
+    assert run() == sequential([r.text for r in rows], 64)[0]
+
+
+def test_a_gate_refuses_a_table_of_experts_without_bound(spark, monkeypatch):
+    monkeypatch.setattr(routing, "MAX_EXPERTS", 2)
+    tokens = spark.createDataFrame([(1, [1.0])], "token_id int, x array<double>")
+    experts = spark.createDataFrame([(k, [1.0]) for k in range(3)], "expert int, w array<double>")
+    with pytest.raises(ValueError):
+        routing.gate(tokens, experts)
+    assert routing.gate(tokens, experts.limit(2)).count() == 1
+
+
+def test_stash_folders_are_deleted(spark):
+    import os
+
+    with stash.scratch(spark) as block:
+        stash.stash(spark.range(3))
+        kept = stash.stash(spark.range(4), outer=True)
+        taken = stash.stash(spark.range(5))
+        inside = list(block.paths)
+        path = block.take()
+    assert not os.path.exists(inside[0]) and kept.count() == 4 and taken.count() == 5
+    stash.discard(spark, path)
+    assert not os.path.exists(path)
