@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 EOS = "<eos>"
@@ -45,3 +47,16 @@ class ModelConfig:
             raise ValueError("heads must be a multiple of kv_heads")
         if self.experts_per_token > self.experts:
             raise ValueError("more experts per token than experts")
+
+
+def environment(env: Mapping[str, str]) -> tuple[int, int]:
+    """(local rank, rank) of a process; -1 and 0 where unset."""
+    return int(env.get("LOCAL_RANK", -1)), int(env.get("RANK", 0))
+
+
+def parse_args(argv: Sequence[str]) -> argparse.Namespace:
+    """``local_rank`` and ``batch_size``; a launcher's own arguments are left alone."""
+    p = argparse.ArgumentParser()
+    p.add_argument("--local_rank", type=int, default=-1)
+    p.add_argument("--batch_size", type=int, default=PackConfig.batch)
+    return p.parse_known_args(list(argv))[0]

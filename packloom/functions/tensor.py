@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,7 +76,8 @@ def cosine_schedule(step: Column, rate: float = 3e-4, warmup: int = 2000, total:
 
 def linear(x: Column, weights: list[list[float]], bias: list[float] | None = None) -> Column:
     """One dot product a row of ``weights``, plus its bias. The weights are a literal, bounded by the model's size."""
-    rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias or [0.0] * len(weights), strict=True)])
+    numbers = lambda w: ", ".join(f"{float(v)!r}D" for v in w)
+    rows = F.expr("array(" + ", ".join(f"named_struct('w', array({numbers(w)}), 'b', {float(b)!r}D)" for w, b in zip(weights, bias or [0.0] * len(weights), strict=True)) + ")")
     return let(x, lambda v: F.transform(rows, lambda r: dot(v, r["w"]) + r["b"]))
 
 
@@ -89,3 +90,50 @@ def norm_and_rotate(x: Column, heads: int, position: Column, frequencies: list[f
     """Each head's lanes normalised, then rotated by their position."""
     width = 2 * len(frequencies)
     return F.concat(*[let(rms_norm(F.slice(x, h * width + 1, width)), lambda v: rope(v, position, frequencies)) for h in range(heads)])
+
+
+def at_offset(rows: DataFrame, table: DataFrame, positions: int, most: int = 1 << 17) -> DataFrame:
+    """Rows (pos, offset) joined with the lines (pos, …) of a position table at pos + offset. The table is broadcast if it
+    has at most ``most`` positions."""
+    table = table.withColumnRenamed("pos", "_at")
+    return rows.join(F.broadcast(table) if positions <= most else table, F.col("pos") + F.col("offset") == F.col("_at")).drop("_at")
+
+
+def init_deviation(name: str, layers: int) -> float:
+    """The deviation of a tensor's first values by its name; 0 for biases, -1 for scales, which start at 1."""
+    if "norm" in name:
+        return -1.0
+    if name.endswith(".b"):
+        return 0.0
+    if ".gate." in name:
+        return 0.01
+    return 0.02 / math.sqrt(2 * layers) if name.endswith((".o.w", ".w2.w")) else 0.02
+
+
+def init_values(shapes: DataFrame, layers: int, seed: int) -> DataFrame:
+    """(name, i, value) of tensors (name, shape): normal values from the MD5 of name, index and seed."""
+    n = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    name = F.col("name")
+    deviation = (
+        F.when(F.contains(name, F.lit("norm")), -1.0).when(F.endswith(name, F.lit(".b")), 0.0).when(F.contains(name, F.lit(".gate.")), 0.01)
+        .when(F.endswith(name, F.lit(".o.w")) | F.endswith(name, F.lit(".w2.w")), 0.02 / math.sqrt(2 * layers)).otherwise(0.02)
+    )
+    h = F.md5(F.concat_ws("|", name, F.col("i").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    rows = shapes.select("name", deviation.alias("std"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    drawn = F.col("std") * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(9))
+    return rows.select("name", "i", F.when(F.col("std") < 0, 1.0).otherwise(drawn).alias("value"))
+
+
+def dropout(x: Column, rate: float, key: Column, training: bool) -> Column:
+    """Lanes set to 0 with chance ``rate`` by the MD5 of key and lane, the others scaled up; the identity at rate 0 and
+    outside training."""
+    if not training or not rate:
+        return x
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.transform(x, lambda v, i: F.when(draw(i) < rate * float(1 << 32), 0.0).otherwise(v / (1 - rate)))
+
+
+def autocast(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each lane in single precision, back in double."""
+    return F.transform(x.cast("array<float>"), lambda v: body(v).cast("float")).cast("array<double>")

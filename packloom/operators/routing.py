@@ -44,6 +44,11 @@ def bincount(spark: SparkSession, routed: DataFrame, experts: int) -> DataFrame:
     return ids.join(n, "expert", "left").select("expert", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counts_by_interval(routed: DataFrame, step: Column, every: int) -> DataFrame:
+    """(epoch, expert, n): counters that start anew after each ``every`` steps."""
+    return routed.groupBy(F.floor(step / every).alias("epoch"), "expert").agg(F.count(F.lit(1)).alias("n"))
+
+
 def utilization(counts: DataFrame) -> DataFrame:
     """(expert, n, percent); no rows if nothing was routed."""
     total = counts.agg(F.sum("n").alias("total")).filter("total > 0")

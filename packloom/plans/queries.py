@@ -38,6 +38,9 @@ pairs AS (SELECT a.chunk_id, a.at_ AS pos, a.tok AS input, b.tok AS target FROM
 """
 
 
+SQL_PACKED_BY = "WITH " + TOKENS.replace("ORDER BY doc_id, i", "ORDER BY {key}, i") + f" SELECT chunk_id, count(*) AS n_tokens, md5(string_agg(tok, ' ' ORDER BY at_)) AS tokens_md5 FROM c GROUP BY 1 HAVING count(*) = {C.width}"
+
+
 @query("pack_sequences", f"WITH {TOKENS} SELECT chunk_id, count(*) AS n_tokens, md5(string_agg(tok, ' ' ORDER BY at_)) AS tokens_md5 FROM c GROUP BY 1 HAVING count(*) = {C.width}")
 def pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     return chunks_of(spark, d).select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))

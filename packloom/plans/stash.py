@@ -29,7 +29,7 @@ _SCOPES: list[scratch] = []
 _RUNS: set[str] = set()
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, or None where the session has no JVM of its own."""
     jvm = getattr(spark, "_jvm", None)
     if jvm is None:
@@ -41,7 +41,7 @@ def _hadoop(spark: SparkSession, path: str):
 def run_dir(spark: SparkSession) -> str:
     """This application's folder inside the shared one; the driver deletes it when its JVM ends in order."""
     path = f"{shared_dir(spark)}/packloom-{spark.sparkContext.applicationId}"
-    if path not in _RUNS and (found := _hadoop(spark, path)):
+    if path not in _RUNS and (found := hadoop(spark, path)):
         fs, at = found
         fs.mkdirs(at)
         fs.deleteOnExit(at)
@@ -51,7 +51,7 @@ def run_dir(spark: SparkSession) -> str:
 
 def discard(spark: SparkSession, path: str | None) -> None:
     """Delete a stashed table."""
-    if path and (found := _hadoop(spark, path)):
+    if path and (found := hadoop(spark, path)):
         found[0].delete(found[1], True)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.plans.stash import hadoop
+
 KINDS = ("model", "optim", "scheduler")
 
 
@@ -28,6 +30,21 @@ def list_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "model_*.pt").load(folder).select("path", "length")
 
 
+def mark(spark: SparkSession, folder: str, steps: list[int], kind: str = "model") -> None:
+    """Files of one byte named as checkpoints of these steps, in any file system that Spark reaches."""
+    for step in steps:
+        fs, at = hadoop(spark, f"{folder}/{kind}_{step:05d}.pt")
+        out = fs.create(at, True)
+        out.writeBytes("1")
+        out.close()
+
+
+def publish(artifacts: DataFrame, manifest: str) -> None:
+    """Append (name, step, path) of artifacts (step, path) to a manifest table; names have steps of six digits."""
+    name = file_name(F.lit("checkpoint"), F.col("step"), 6)
+    artifacts.select(F.regexp_replace(name, r"\.pt$", "").alias("name"), "step", "path").write.mode("append").parquet(manifest)
+
+
 def save_state(state: DataFrame, folder: str, step: int) -> str:
     path = f"{folder}/step={step}"
     state.write.mode("overwrite").parquet(path)

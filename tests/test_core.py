@@ -270,3 +270,40 @@ def test_stash_folders_are_deleted(spark):
     assert not os.path.exists(inside[0]) and kept.count() == 4 and taken.count() == 5
     stash.discard(spark, path)
     assert not os.path.exists(path)
+
+
+def test_cached_generation_equals_whole_passes(spark, sf_dir):
+    """Generation over the cache gives what a full forward pass over the grown sequence gives at each step."""
+    from packloom.operators import transformer
+    from packloom.plans import forward_queries as fq
+
+    tokens = fq._tokens(spark, sf_dir).filter("b < 6").cache()
+    made = sorted(map(tuple, transformer.generate(tokens, fq.MODEL, 2, -1).collect()))
+    seqs = {}
+    for b, pos, t in sorted(map(tuple, tokens.select("b", "pos", "token").collect())):
+        seqs.setdefault(b, []).append(t)
+    want = []
+    for _ in range(2):
+        rows = spark.createDataFrame([(b, p, t) for b, s in seqs.items() for p, t in enumerate(s)], "b long, pos int, token int")
+        logits, _ = transformer.forward(rows, fq.MODEL)
+        last = {r.b: r for r in evaluation.last_position(logits, "b", "pos").collect()}
+        for b, r in last.items():
+            token = max(range(fq.VOCAB), key=lambda k: (r.logits[k], -k))
+            want.append((b, len(seqs[b]), token))
+            seqs[b].append(token)
+    tokens.unpersist()
+    assert made == sorted(want)
+
+
+def test_settings():
+    from packloom import config
+
+    assert config.environment({}) == (-1, 0) and config.environment({"RANK": "2", "LOCAL_RANK": "1"}) == (1, 2)
+    assert config.parse_args(["--batch_size", "4", "--other"]).batch_size == 4
+    assert tensor.init_deviation("0.gate.w", 2) == 0.01 and tensor.init_deviation("1.o.w", 2) == 0.01 and tensor.init_deviation("q.b", 2) == 0
+
+
+def test_dropout_keeps_the_mean_and_is_off_outside_training(spark):
+    rows = spark.range(400).select("id", F.array_repeat(F.lit(1.0), 50).alias("x"))
+    total = lambda t, r: rows.select(F.aggregate(tensor.dropout(F.col("x"), r, F.col("id"), t), F.lit(0.0), lambda a, v: a + v).alias("s")).agg({"s": "avg"}).first()[0]
+    assert total(False, 0.5) == total(True, 0.0) == 50 and abs(total(True, 0.5) - 50) < 2
