@@ -60,15 +60,15 @@ def at_cadence(step: Column, every: int) -> Column:
     return (step + 1) % every == 0
 
 
-def patience(evals: DataFrame, most: int = 8) -> DataFrame:
-    """(eval, loss, best, waited, stop): evaluations since the last strict improvement. One row per evaluation of a run."""
-    order = Window.partitionBy(F.lit(0)).orderBy("eval")
+def patience(evals: DataFrame, most: int = 8, run: str = "run") -> DataFrame:
+    """(run, eval, loss, best, waited, stop): evaluations since the last strict improvement, for each run."""
+    order = Window.partitionBy(run).orderBy("eval")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = evals.withColumn("_b", F.min("loss").over(before)).withColumn("_new", F.col("_b").isNull() | (F.col("loss") < F.col("_b")))
     rows = rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(order))
-    inside = Window.partitionBy("_run").orderBy("eval")
+    inside = Window.partitionBy(run, "_run").orderBy("eval")
     waited = F.row_number().over(inside) - 1
-    return rows.select("eval", "loss", F.least("loss", "_b").alias("best"), waited.alias("waited"), (waited >= most).alias("stop"))
+    return rows.select(run, "eval", "loss", F.least("loss", "_b").alias("best"), waited.alias("waited"), (waited >= most).alias("stop"))
 
 
 def throughput(steps: Column, tokens_per_step: Column, seconds: Column) -> Column:

@@ -122,10 +122,18 @@ def dedupe_order(spark: SparkSession, d: str) -> DataFrame:
     return listing.first_occurrences(keyed, "text_md5", "doc_id")
 
 
-@query("language_filter", "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'en.noclean', 'en.noblocklist') GROUP BY 1")
+PATHS = "lang || (['', '.noclean', '.noblocklist', '.other'])[doc_id % 4 + 1] || '/' || CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END || '.json'"
+
+
+@query("language_filter", f"SELECT 'variants' AS mode, path, count(*) AS n FROM (SELECT {PATHS} AS path FROM documents) WHERE split_part(path, '/', 1) IN ('en', 'en.noclean', 'en.noblocklist') GROUP BY 2 UNION ALL SELECT 'strict', path, count(*) FROM (SELECT {PATHS} AS path FROM documents) WHERE path = 'de/train.json' GROUP BY 2")
 def language_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = listing.language_files(read(spark, d, "documents"), "en", variants=True, path="lang")
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Paths in four variants of each language's folder, with their validation shards."""
+    variant = F.get(F.array(*[F.lit(v) for v in ("", ".noclean", ".noblocklist", ".other")]), (F.col("doc_id") % 4).cast("int"))
+    name = F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train")
+    files = read(spark, d, "documents").select(F.concat("lang", variant, F.lit("/"), name, F.lit(".json")).alias("path"))
+    found = {"variants": listing.language_files(files, "en", variants=True), "strict": listing.language_files(files, "de", split="train")}
+    rows = [x.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "path", "n") for mode, x in found.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @query("top_segment", "SELECT split_part(replace(url, '://', '_'), '/', 1) AS segment, count(*) AS n FROM pages GROUP BY 1")
@@ -139,21 +147,29 @@ def shard_urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", listing.to_url(F.col("url"), "https://host/resolve/main/").alias("url"))
 
 
-@query("gpu_rows", "SELECT * FROM (VALUES ('RTX 4090', '550.1', '24564 MiB'), ('A100', '535', '81920 MiB')) v(name, driver, memory)")
+@query("gpu_rows", "SELECT trim(s_name) AS name, s_suppkey::VARCHAR AS driver, s_nationkey || ' MiB' AS memory FROM supplier WHERE s_suppkey % 3 <> 0")
 def gpu_rows(spark: SparkSession, d: str) -> DataFrame:
-    return listing.gpu_rows(spark.createDataFrame([("RTX 4090, 550.1 , 24564 MiB",), ("broken, line",), (" A100,535,81920 MiB, x",)], "line string"))
+    """A listing with blanks around its fields, every third line short of one."""
+    s = read(spark, d, "supplier")
+    whole = F.concat_ws(", ", F.concat(F.lit(" "), "s_name"), F.concat(F.col("s_suppkey").cast("string"), F.lit(" ")), F.concat(F.col("s_nationkey").cast("string"), F.lit(" MiB")))
+    return listing.gpu_rows(s.select(F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit(", x"))).otherwise(whole).alias("line")))
 
 
-@query("toolkit_release", "SELECT '12.4' AS version")
+@query("toolkit_release", "SELECT (p_size % 13) || '.' || (p_partkey % 7) AS version FROM part WHERE p_size % 5 = 0 ORDER BY p_partkey LIMIT 1")
 def toolkit_release(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "nvcc: NVIDIA (R) Cuda compiler driver"), (2, "Cuda compilation tools, release 12.4, V12.4.131"), (3, "release 1, x")]
-    return listing.toolkit_release(spark.createDataFrame(rows, "n int, line string"))
+    """Of lines that mention a release or not, the first that does."""
+    p = read(spark, d, "part")
+    version = F.concat_ws(".", (F.col("p_size") % 13).cast("string"), (F.col("p_partkey") % 7).cast("string"))
+    line = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("tools release notes, release "), version, F.lit(", V"), version, F.lit(".131"))).otherwise(F.concat(F.lit("compiler "), version))
+    return listing.toolkit_release(p.select(F.col("p_partkey").alias("n"), line.alias("line")))
 
 
-@query("wheel_name", "SELECT * FROM (VALUES (1, 'flash_attn-*+cu124torch26*-cp311-*-linux_x86_64.whl'), (2, 'flash_attn-*+cuxxxtorch25*-cp39-*-linux_x86_64.whl')) v(n, wheel)")
+@query("wheel_name", "SELECT p_partkey AS n, 'flash_attn-*+cu' || CASE WHEN p_size % 4 = 0 THEN 'xxx' ELSE (p_size % 13) || (p_partkey % 7)::VARCHAR END || 'torch2' || (p_size % 7) || '*-cp3' || (p_partkey % 14) || '-*-linux_x86_64.whl' AS wheel FROM part")
 def wheel_name(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "2.6.0+cu124", "12.4", "3.11.4"), (2, "2.5.1", None, "3.9")], "n int, torch string, cuda string, python string")
-    return rows.select("n", listing.wheel_name(F.col("torch"), F.col("cuda"), F.col("python")).alias("wheel"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    size, key = F.col("p_size"), F.col("p_partkey")
+    cuda = F.when(size % 4 != 0, text(size % 13, ".", key % 7))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("n"), listing.wheel_name(text("2.", size % 7, ".1+cu", key % 7), cuda, text("3.", key % 14, ".4")).alias("wheel"))
 
 
 # --- checkpoints ---------------------------------------------------------------------------------------------------
@@ -407,21 +423,19 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(F.col("event_id").alias("step"), F.round(tensor.cosine_schedule(F.col("event_id") * 10), 12).alias("rate"))
 
 
-LOSSES = [5.0, 4.0, 4.5, 4.0, 3.9, 3.95, 4.1, 4.0, 3.9, 5.0, 4.2, 4.3, 4.4, 3.0]
-
-
-@query("early_stopping", "WITH e(eval, loss) AS (VALUES " + ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(LOSSES)) + """),
-b AS (SELECT *, min(loss) OVER (ORDER BY eval ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
-r AS (SELECT *, sum(CASE WHEN before IS NULL OR loss < before THEN 1 ELSE 0 END) OVER (ORDER BY eval) AS run FROM b)
-SELECT eval, loss, least(loss, before) AS best, (row_number() OVER (PARTITION BY run ORDER BY eval) - 1)::INTEGER AS waited, row_number() OVER (PARTITION BY run ORDER BY eval) - 1 >= 8 AS stop FROM r""")
+@query("early_stopping", """WITH b AS (SELECT user_id AS run, event_id AS eval, value AS loss, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR loss < before THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY eval) AS island FROM b)
+SELECT run, eval, loss, least(loss, before) AS best, (row_number() OVER (PARTITION BY run, island ORDER BY eval) - 1)::INTEGER AS waited, row_number() OVER (PARTITION BY run, island ORDER BY eval) - 1 >= 8 AS stop FROM r""")
 def early_stopping(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.patience(spark.createDataFrame(list(enumerate(LOSSES)), "eval int, loss double"))
+    """Each user's events as the validation losses of a run."""
+    return evaluation.patience(read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("eval"), F.col("value").alias("loss")))
 
 
-@query("throughput", f"WITH {TOKENS} SELECT count(*) AS chunks, count(*) * {C.context} / 60.0::DOUBLE AS tokens_per_s FROM whole")
+@query("throughput", f"WITH {TOKENS} SELECT count(*) AS chunks, round(count(*) * {C.context} / (SELECT sum(value) FROM events), 6) AS tokens_per_s FROM whole")
 def throughput(spark: SparkSession, d: str) -> DataFrame:
     n = chunks_of(spark, d).agg(F.count(F.lit(1)).alias("chunks"))
-    return n.select("chunks", evaluation.throughput(F.col("chunks"), F.lit(C.context), F.lit(60.0)).alias("tokens_per_s"))
+    seconds = read(spark, d, "events").agg(F.sum("value").alias("seconds"))
+    return n.crossJoin(F.broadcast(seconds)).select("chunks", F.round(evaluation.throughput(F.col("chunks"), F.lit(C.context), F.col("seconds")), 6).alias("tokens_per_s"))
 
 
 @query("topk_sampling", """WITH r AS (SELECT user_id AS step, event_id AS token, value AS logit, (user_id % 97) / 97.0 AS u, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events QUALIFY r <= 50),
