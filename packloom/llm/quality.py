@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.plans.stash import stash
+from packloom.plans.stash import scratch, stash
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -63,9 +63,9 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(found)
 
 
-def _length_of(text: Column, other: str) -> Column:
-    """The characters of ``text`` that the class ``other`` leaves; long runs are skipped at once."""
-    return F.length(F.regexp_replace(text, f"[{other}]+", "")).cast("long")
+def _count(text: Column, pattern: str) -> Column:
+    """How many matches there are; asked with a class of single characters this beats deleting all the others."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
 
 
 def base_figures(text: Column) -> Column:
@@ -73,20 +73,18 @@ def base_figures(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
 
-    marks = F.regexp_replace(whole, r"[^\x21-\x40\x5B-\x60\x7B-\x7E]+", "")  # visible ASCII other than letters
-
-    def of(w: Column, m: Column) -> Column:
+    def of(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _length_of(m, "^#*$%&|<>").alias("n_symbols"),
+            _count(whole, "[#*$%&|<>]").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
-            F.length(m).cast("long").alias("n_marks"),
-            _length_of(m, "^!").alias("n_bangs"),
+            _count(whole, r"[\x21-\x40\x5B-\x60\x7B-\x7E]").alias("n_marks"),  # visible ASCII other than letters
+            _count(whole, "!").alias("n_bangs"),
         )
 
-    return let(marks, lambda m: let(words_of(text), lambda w: of(w, m)))
+    return let(words_of(text), of)
 
 
 def base_failed(f: Column) -> Column:
@@ -101,10 +99,6 @@ class Rule:
     rejects: Callable[[Column, Column], Column]
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long")
-
-
 def _line_share(text: Column, pattern: str, percent: int) -> Column:
     """Whether more than ``percent`` of the lines match."""
     return 100 * _count(text, pattern) > percent * (_count(text, "\n") + 1)
@@ -120,8 +114,8 @@ def _lines_start(text: Column, marks: str) -> Column:
 RULES = [
     Rule("symbols", lambda t, f: 10 * f["n_symbols"] > f["n_words"]),
     Rule("word_length", lambda t, f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
-    Rule("dup_lines", lambda t, f: 10 * f["n_dup_lines"] > 5 * (_length_of(F.coalesce(t, F.lit("")), r"^\n") + 1)),
-    Rule("shouting", lambda t, f: 2 * _length_of(F.coalesce(t, F.lit("")), r"^\p{Lu}") > f["word_chars"]),
+    Rule("dup_lines", lambda t, f: 10 * f["n_dup_lines"] > 5 * (_count(t, "\n") + 1)),
+    Rule("shouting", lambda t, f: 2 * _count(t, r"\p{Lu}") > f["word_chars"]),
     Rule("letterless", lambda t, f: 2 * f["n_marks"] > f["word_chars"]),
     Rule("exclamation", lambda t, f: 5 * f["n_bangs"] > f["n_words"]),
     Rule("ellipsis", lambda t, f: (F.contains(t, F.lit("…")) | F.contains(t, F.lit("..."))) & _line_share(t, r"(?m)(\.\.\.|…)$", 30)),
@@ -142,22 +136,23 @@ class Estimate:
 
 def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Estimate]:
     """Each rule's measured seconds and rejected share on a sample of about ``rows`` rows that pass the base rules."""
-    total = docs.count()
-    part = docs.select(F.col(text_col).alias("text"))
-    sample = part.sample(fraction=min(1.0, rows / total), seed=seed) if total > rows else part
-    sample = stash(sample.select("text", base_figures(F.col("text")).alias("f")).filter(~base_failed(F.col("f"))))
-
-    def timed(reject: Column) -> tuple[float, float]:
-        plan = sample.agg(F.count_if(reject).alias("no"), F.count(F.lit(1)).alias("n"))
-        best = 1e9
-        for _ in range(2):  # the first run compiles
-            began = time.perf_counter()
-            no, n = plan.first()
-            best = min(best, time.perf_counter() - began)
-        return best, no / max(n, 1)
-
-    floor = timed(F.length("text") < 0)[0]
-    return [Estimate(r.name, max(cost - floor, 1e-4), share) for r in rules for cost, share in [timed(r.rejects(F.col("text"), F.col("f")))]]
+    with scratch(docs.sparkSession):
+        total = docs.count()
+        part = docs.select(F.col(text_col).alias("text"))
+        sample = part.sample(fraction=min(1.0, rows / total), seed=seed) if total > rows else part
+        sample = stash(sample.select("text", base_figures(F.col("text")).alias("f")).filter(~base_failed(F.col("f"))))
+
+        def timed(reject: Column) -> tuple[float, float]:
+            plan = sample.agg(F.count_if(reject).alias("no"), F.count(F.lit(1)).alias("n"))
+            best = 1e9
+            for _ in range(2):  # the first run compiles
+                began = time.perf_counter()
+                no, n = plan.first()
+                best = min(best, time.perf_counter() - began)
+            return best, no / max(n, 1)
+
+        floor = timed(F.length("text") < 0)[0]
+        return [Estimate(r.name, max(cost - floor, 1e-4), share) for r in rules for cost, share in [timed(r.rejects(F.col("text"), F.col("f")))]]
 
 
 def order_rules(rules: list[Rule], estimates: list[Estimate]) -> list[Rule]:
