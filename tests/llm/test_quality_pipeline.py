@@ -85,3 +85,27 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
                 assert out.columns == docs.columns, name
             assert out.count() >= 0
     assert "pipeline" in queries() and len(queries()) == 11
+
+
+def test_stages_take_very_long_texts_and_copies(spark, sf_dir):
+    """One text of 2 MB, a near copy and exact copies of it, a run of one letter, and columns named as the stages' own."""
+    import hashlib
+
+    word = lambda i: "w" + "".join(chr(97 + int(c, 16)) for c in hashlib.md5(str(i).encode()).hexdigest()[:7])
+    long = " ".join(word(i) for i in range(220_000))
+    secret = "q8Zt3kVx9LmB2nRw7YpD5sHc"
+    rows = [(1, long), (2, long + " and some more words"), (3, long), (3, long), (4, "z" * 200_000), (5, " ".join(word(-i) for i in range(1, 80)) + f" {secret} end")]
+    names = ["goes", "mix_key", "mix_rule", "rep", "comp", "ids"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *names) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality rules"](spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in good.select("doc_id").collect()) == [1, 2, 3, 3, 5]
+    one = stages["near duplicates"](spark, good, sf_dir)
+    assert sorted(r.doc_id for r in one.select("doc_id").collect()) == [1, 5]
+    clean = stages["secret scans"](spark, one, sf_dir)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[1] == long and secret not in texts[5] and "[SECRET]" in texts[5]
+    mixed = stages["source mixing"](spark, clean, sf_dir)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.select("doc_id").collect()} == {1, 5}
+    ids = {r.doc_id: r for r in stages["piece encoding"](spark, mixed, sf_dir).collect()}
+    assert ids[1].round_trip and ids[5].round_trip and ids[1].n_tokens > 220_000
