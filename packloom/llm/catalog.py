@@ -137,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": oracles.mixing_sql(MIX_TARGET.repetition, mixing.BLOCK_TOKENS),
         "op2_quality_rules": OP2_SQL,
+        "op4_jaccard_join": oracles.jaccard_sql(),
         "op8_secret_scans": oracles.secrets_sql(),
         "op9_sharding": oracles.sharding_sql(16),
         "op10_url_filters": OP10_SQL,

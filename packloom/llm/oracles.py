@@ -5,7 +5,7 @@ Each text is made from the operator's own parameters, so that a changed weight,
 
 from __future__ import annotations
 
-from packloom.llm import secrets, sharding
+from packloom.llm import jaccard_join, secrets, sharding
 
 
 def _quoted(x: str) -> str:
@@ -31,6 +31,27 @@ FROM o WHERE (epoch = 0 AND quota >= total) OR (at_ < quota AND (n > 0 OR epoch
 """
 
 
+def jaccard_sql() -> str:
+    """All pairs of texts that share a shingle, exactly, and the components of those similar enough."""
+    w, t = jaccard_join.SHINGLE, round(1000 * jaccard_join.THRESHOLD)
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {w} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {w - 2}), lambda i: array_to_string(w[i : i + {w - 1}], ' ')) END)) AS g FROM d
+), n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY 1),
+h AS MATERIALIZED (SELECT r, hash(g) AS g FROM s),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 1000 * c >= {t} * (p.n + q.n - c)),
+e AS MATERIALIZED (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.t),
+least AS (SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.t GROUP BY 1),
+links AS (SELECT a AS r, count(*) AS n FROM e GROUP BY 1)
+SELECT doc_id, class_id, coalesce(links.n, 0)::BIGINT AS n_links FROM d JOIN least USING (r) LEFT JOIN links USING (r)
+"""
+
+
 def _draws(tree: sharding.Tree, key: str, tag: str) -> str:
     """Common table expressions that walk a tree level by level; the last one is ``{tag}3`` (row, at_)."""
     out, before = [], f"SELECT row, {key} AS key, '' AS at_ FROM d"
