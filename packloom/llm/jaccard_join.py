@@ -36,6 +36,8 @@ TREES, DEPTH = 16, 6
 TARGET_RECALL = 0.9995
 #: A candidate's estimated similarity may lie this far below the threshold: over four standard errors of 96 minima.
 SLACK = 0.18
+#: The share of its minima in which a row may differ from the lead that goes on for it.
+CLOSE = 0.06
 #: Rows, and bytes of shingles, of a block.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 
@@ -189,7 +191,12 @@ def _descend(table: pa.Table, least: float, floor: int, target: float) -> pa.Rec
     Every row starts with the run of rows that share its whole label. Candidates are rows whose signatures agree in
     ``least`` or more. A row's recall is estimated from them: one of similarity s is found in some tree with the chance
     ``recall(s, depth)``, so found over the sum of the inverse chances is the share found. While that is under ``target``,
-    or nothing is found, the matched prefix is shortened by one minimum. Gives a spanning forest of the links.
+    or nothing is found, the matched prefix is shortened by one minimum.
+
+    The estimate knows nothing of partners less alike than those found, so a row that meets the target stops only beside
+    a lead: a candidate of its run within ``CLOSE`` of it that goes on to the shortest prefix. Whoever shares that prefix
+    with the row shares it with the lead, and agrees with the lead in at most ``CLOSE`` fewer of the minima. Gives a
+    spanning forest of the links.
     """
     n = table.num_rows
     if n < 2:
@@ -202,12 +209,13 @@ def _descend(table: pa.Table, least: float, floor: int, target: float) -> pa.Rec
         return pa.RecordBatch.from_arrays([pa.array(rep[1:]), pa.array(rep[:1])], names=["a", "b"])
     label = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint32).reshape(n, -1)
     splits = label[1:] != label[:-1]
-    going = np.ones(n, bool)
+    going, lead, met = np.ones(n, bool), np.zeros(n, bool), np.zeros(n, int)
     ea, eb = [], []
     for depth in range(DEPTH, floor - 1, -1):
         ends = [0, *(np.flatnonzero(splits[:, :depth].any(axis=1)) + 1).tolist(), n]
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             mine = s + np.flatnonzero(going[s:e])
+            mine = mine[~lead[mine] | (met[mine] < e - s)]  # runs nest, so one of equal size holds the same rows
             if e - s < 2 or not len(mine):
                 continue
             agree = np.stack([np.count_nonzero(sig[s:e] == sig[i], axis=1) for i in mine]) / sig.shape[1]
@@ -216,11 +224,22 @@ def _descend(table: pa.Table, least: float, floor: int, target: float) -> pa.Rec
             i, j = np.nonzero(hit)
             ea.append(mine[i])
             eb.append(s + j)
+            met[mine] = e - s
+            asks = ~lead[mine]
+            if not asks.any():
+                continue
+            mine, agree, hit = mine[asks], agree[asks], hit[asks]
             chance = recall(np.maximum(agree, THRESHOLD), depth)
             found, all_of = hit.sum(axis=1), np.where(hit, 1 / chance, 0).sum(axis=1)
-            going[mine[(found > 0) & (found >= target * all_of)]] = False
-        if not going.any():
-            break
+            close = hit & (agree >= 1 - CLOSE)
+            for x in np.flatnonzero((found > 0) & (found >= target * all_of) & close.any(axis=1)):
+                beside = s + np.flatnonzero(close[x])
+                beside = beside[going[beside]]
+                if lead[mine[x]] or not len(beside):
+                    continue
+                if not lead[beside].any():
+                    lead[beside[0]] = True
+                going[mine[x]] = False
     return _forest_of(rep, ea, eb)
 
 

@@ -183,3 +183,29 @@ def test_hot_keys_change_nothing(spark, sf_dir, monkeypatch, floor):
     monkeypatch.setattr(stash, "HOT_ROWS", floor)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jj.classes(docs).collect()) == want
     assert sorted(r.doc_id for r in jj.keep_one(docs).collect()) == kept
+
+
+def test_tight_groups_keep_the_links_between_them():
+    """Rows that stop at whole labels, having found a near copy, lose no partner at the threshold."""
+    import pyarrow as pa
+
+    family, floor = jj._hash_family(jj.TREES * jj.DEPTH), jj.prefix_depth()
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(1, 1 << 62, n)
+    missed = 0
+    for _ in range(800):
+        one = new(200)
+        two = np.concatenate([one[:178], new(22)])  # 178 of 222: just above the threshold
+        sets = [one, np.concatenate([one[1:], new(1)]), two, np.concatenate([two[:-1], new(1)])]
+        sig = [jj.signature(np.unique(x).astype(np.uint64), family) for x in sets]
+        a, b = [], []
+        for t in range(jj.TREES):
+            labels = sorted((x[t * jj.DEPTH : (t + 1) * jj.DEPTH].tobytes(), i) for i, x in enumerate(sig))
+            for prefix in {x[: 4 * floor] for x, _ in labels}:
+                group = [(x, i) for x, i in labels if x.startswith(prefix)]
+                found = jj._descend(pa.table({"rep": [i for _, i in group], "sig": [sig[i].tobytes() for _, i in group], "label": [x for x, _ in group]}), jj.THRESHOLD - jj.SLACK, floor, jj.TARGET_RECALL)
+                if found is not None:
+                    a, b = a + found["a"].to_pylist(), b + found["b"].to_pylist()
+        root = forest(4, np.array(a, int), np.array(b, int))
+        missed += int(root[0] != root[2])
+    assert missed <= 1
